@@ -6,23 +6,66 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chunkyard.llm.common import table
 from chunkyard.llm.exact_dedup import exact_groups
+from chunkyard.llm.html_extract import extract_main_text
+from chunkyard.llm.license_scan import scan_licenses
 from chunkyard.llm.packing import pack_documents
+from chunkyard.llm.simhash import near_groups
+from chunkyard.llm.substring_dedup import substring_dedup
+from chunkyard.llm.warc import warc_roundtrip
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op2_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op10_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_roundtrip(table(spark, sf_dir, "pages")).drop("url")
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_hierarchical_packing": op2_hierarchical_packing,
+    "op3_repeated_passages": op3_repeated_passages,
+    "op4_simhash_components": op4_simhash_components,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_html_main_text": op6_html_main_text,
+    "op10_warc_roundtrip": op10_warc_roundtrip,
 }
 
 ORACLE_SQL = {
+    "op10_warc_roundtrip": """
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+        ), g AS (
+            SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+                   CASE WHEN octet_length(payload) >= 1000 THEN max(page_id) OVER (PARTITION BY payload) ELSE page_id END AS kept
+            FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id IS DISTINCT FROM kept AND kept IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+        FROM g
+    """,
     "op5_exact_dedup": """
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
