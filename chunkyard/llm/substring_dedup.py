@@ -22,31 +22,61 @@ from chunkyard.llm.common import mixed, slices, texts_of, written
 #: Words of a window and of a phrase. W - K + 1 is a power of two: windows find their phrase by doubling.
 W, K = 20, 5
 #: Text of a shard: what one automaton is compiled for.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
 
 
+#: Powers of an odd number and of its inverse modulo 2**64, for hashes of words by position.
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of the multiplier, and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        both = []
+        for base in (0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)):
+            x = np.full(max(n, SHARD_BYTES + (1 << 16)), base, np.uint64)
+            x[0] = 1
+            both.append(np.multiply.accumulate(x))
+        _POWERS[:] = both
+    return _POWERS
+
+
 def words_of(text: str) -> list[bytes]:
     """The words between white space (space, tab, line feed, vertical tab, form feed, carriage return), in UTF-8."""
     return text.encode().split()
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
 class Shard:
     """The words of some documents in one array, the phrases at each word, and the phrase that each window picks."""
 
-    def __init__(self, texts: list[str]) -> None:
-        import xxhash
-
-        self.words = [words_of(t) for t in texts]
-        self.sizes = np.fromiter(map(len, self.words), np.int64, len(texts))
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
-        total = int(self.sizes.sum())
-        digest = xxhash.xxh3_64_intdigest
-        self.hashes = mixed(np.fromiter((digest(w) for doc in self.words for w in doc), np.uint64, total))
+    def __init__(self, texts: pa.Array) -> None:
+        texts = pa.compute.fill_null(texts, "").cast(pa.large_string())
+        offsets, data = texts.buffers()[1:]
+        at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        ink = ~_SPACE[raw]
+        begins, ends = ink.copy(), ink.copy()
+        begins[1:] &= ~ink[:-1]
+        ends[:-1] &= ~ink[1:]
+        begins[at[:-1][at[:-1] < len(raw)]] |= ink[at[:-1][at[:-1] < len(raw)]]  # words end with their document
+        ends[at[1:][at[1:] > 0] - 1] |= ink[at[1:][at[1:] > 0] - 1]
+        begin, end = np.nonzero(begins)[0], np.nonzero(ends)[0] + 1
+        power, inverse = _powers(len(raw) + 1)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
+        self.hashes = mixed((sums[end] - sums[begin]) * inverse[begin])
+        bounds = np.searchsorted(begin, at)
+        self.starts, self.sizes = bounds[:-1], np.diff(bounds)
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
-        n = total - W + 1
+        n = len(begin) - W + 1
         self.windows = np.zeros(0, np.int64)
         self.picked = self.windows
         self.phrases = np.zeros(0, np.uint64)
@@ -77,7 +107,8 @@ class Shard:
     def located(self, wanted: np.ndarray) -> np.ndarray:
         """For every word, whether a phrase with its hash in ``wanted`` starts there: found by an automaton over words.
 
-        A word's letter is its number among the shard's words, in one character, or two where there are too many.
+        A word is spelt by its number among the shard's words, in three letters from three alphabets: nodes of the
+        automaton keep few children, and phrases match at words only.
         """
         import ahocorasick
 
@@ -86,19 +117,15 @@ class Shard:
         sure = sure[np.unique(self.phrases[sure], return_index=True)[1]]
         if not len(sure):
             return found
-        letters = np.unique(self.hashes, return_inverse=True)[1].astype(np.int64)
-        width = 1 if letters.max() < 1_100_000 else 2
-        if width == 2:
-            letters = np.column_stack((letters // 65536, letters % 65536 + 65536)).reshape(-1)
-        letters += 1 + 2048 * (letters + 1 >= 0xD800)  # no surrogates
-        line = letters.astype("<u4").tobytes().decode("utf-32-le")
+        number = np.unique(self.hashes, return_inverse=True)[1].astype(np.uint32)
+        letters = np.column_stack((1 + number % 64, 101 + number // 64 % 64, 201 + number // 4096))
+        line = letters.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
         automaton = ahocorasick.Automaton()
-        for p in (sure * width).tolist():
-            automaton.add_word(line[p : p + K * width], True)
+        for p in (3 * sure).tolist():
+            automaton.add_word(line[p : p + 3 * K], True)
         automaton.make_automaton()
         ends = np.fromiter((e for e, _ in automaton.iter(line)), np.int64)
-        ends = ends[(ends + 1) % width == 0]
-        found[(ends + 1) // width - K] = True
+        found[(ends + 1) // 3 - K] = True
         return found
 
 
@@ -117,8 +144,8 @@ def _stated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     What a shard already sees twice is known to recur: its rows are dealt by row, and one row without a document
     speaks for the shard. So however common a phrase is, few rows meet under it.
     """
-    for batch in slices(batches, 1, 2 * SHARD_BYTES):
-        shard = Shard(texts_of(batch.column(1)))
+    for batch in slices(batches, 1, SHARD_BYTES):
+        shard = Shard(batch.column(1))
         rows = batch.column(0).to_numpy(zero_copy_only=False)
         at = np.unique(shard.picked)
         phrase, doc = shard.phrases[at], shard.doc[at]
@@ -176,8 +203,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 2, SHARD_BYTES):
         ids = pa.compute.fill_null(batch.column(0), _LAST).to_numpy(zero_copy_only=False)
         rows = batch.column(1).to_numpy(zero_copy_only=False)
-        shard = Shard(texts_of(batch.column(2)))
-        shas = [hashlib.sha256(b" ".join(w)).hexdigest() for w in shard.words]
+        shard = Shard(batch.column(2))
+        shas = [hashlib.sha256(b" ".join(words_of(t))).hexdigest() for t in texts_of(batch.column(2))]
         yield made(len(rows), id=batch.column(0), row=rows, n=shard.sizes, sha=shas)
         wanted = np.unique(batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
         found = shard.located(wanted)
