@@ -156,3 +156,16 @@ def near_groups(
     named = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
     labels = written(rooted.join(named, "root").select("fp", "component_id"), "labels")
     return rows.join(labels, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """The rows of ``df`` that stay, one of each component of :func:`near_groups`, with all their columns.
+
+    The smallest id stays, null ids last, then an arbitrary but fixed one. Rows repeated with id and text stay or go
+    together. Texts shuffle only if the rows to drop are too many to be sent to every task.
+    """
+    mark = F.xxhash64(F.col(id_col), F.col(text_col))
+    who = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), mark.alias("mark"))
+    groups = near_groups(df.select(who.alias("__who"), F.col(text_col).alias("__text")), "__who", "__text", shingle, distance, blocks)
+    dropped = written(groups.where("__who.mark <> component_id.mark").select("__who.mark").distinct(), "dropped")
+    return df.join(dropped, mark == dropped.mark, "left_anti")
