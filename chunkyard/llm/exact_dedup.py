@@ -99,6 +99,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = again.groupBy(_KEY).agg(
         F.min(_order(F.col(_LEN), F.col("__id"))).alias("__first"), F.count(F.lit(1)).alias("group_size")
     )
+    groups = written(groups, "groups")  # joined from a table, so that a hot key's rows can be split over tasks
     shuffled = again.join(groups, _KEY).select(
         "__id", F.col("__first.c").alias("keep_id"), "group_size", F.col(_KEY).alias("text_sha256")
     )
