@@ -17,6 +17,9 @@ _LEAD = {n: "".join(re.escape(c) for c, b in _BYTES.items() if low <= b <= high)
 _FOLLOW = "".join(re.escape(c) for c, b in _BYTES.items() if 0x80 <= b <= 0xBF)
 _MISREAD = re.compile("|".join(f"[{lead}](?:[{_FOLLOW}]){{{n}}}" for n, lead in _LEAD.items()))
 
+#: The second byte of a misread à, turned from a no-break space into a plain one, with the space that followed it.
+_A_GRAVE = re.compile(r"(?<=\w)Ã (?=\s)")
+
 # Ligatures and line separators that are spelt out.
 _PLAIN = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", " ": "\n", " ": "\n"}
 
@@ -32,7 +35,7 @@ def fix_text(text: str) -> str:
     """Misread characters read again until nothing changes; ligatures spelt out; composed form (NFC)."""
     before = None
     while before != text:
-        before, text = text, _MISREAD.sub(_read_again, text)
+        before, text = text, _A_GRAVE.sub("à", _MISREAD.sub(_read_again, text))
     for mark, plain in _PLAIN.items():
         text = text.replace(mark, plain)
     return unicodedata.normalize("NFC", text)

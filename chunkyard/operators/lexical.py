@@ -35,12 +35,12 @@ def build(chunks: DataFrame) -> LexicalIndex:
 def top_k(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, chunk_id, score) of the k best chunks with positive scores; ties go to the smaller chunk_id.
 
-    ``queries`` has query_id and text. A token counts as often as the query repeats it. Scores are rounded to 6 places.
+    ``queries`` has query_id and text. A token counts as often as the query repeats it. Scores are rounded to 5 places.
     """
     asked = queries.select("query_id", F.explode(text.tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
     hits = asked.join(index.vocabulary, "token").join(index.postings, "token").crossJoin(F.broadcast(index.totals.select("avgdl")))  # one row
     length = 1 - config.B + config.B * F.col("dl") / F.col("avgdl")
     part = F.col("times") * F.col("idf") * F.col("tf") * (config.K1 + 1) / (F.col("tf") + config.K1 * length)
-    scores = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    scores = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 5).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")

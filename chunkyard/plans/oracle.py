@@ -53,7 +53,7 @@ RANKED = f"""
     question AS (SELECT item_id AS query_id, {_tokens('text')}[1:12] AS toks FROM benchmark),
     asked AS (SELECT query_id, unnest(toks) AS token FROM question),
     scored AS (
-        SELECT query_id, chunk_id, round(sum(idf * tf * {config.K1 + 1} / (tf + {config.K1} * (1 - {config.B} + {config.B} * len(toks) / avgdl))), 6) AS score
+        SELECT query_id, chunk_id, round(sum(idf * tf * {config.K1 + 1} / (tf + {config.K1} * (1 - {config.B} + {config.B} * len(toks) / avgdl))), 5) AS score
         FROM asked JOIN vocabulary USING (token) JOIN posting USING (token) JOIN chunk USING (chunk_id), total GROUP BY query_id, chunk_id
     ),
     ranked AS (
