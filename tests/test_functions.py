@@ -89,7 +89,7 @@ def test_split_text_examples():
     assert splitters.split_text("short", 100) == ["short"]
     assert splitters.split_text("aa bb cc dd", 5) == ["aa bb", "cc", "dd"]  # a separator counts with the piece that it opens
     assert splitters.split_text("aa bb cc dd", 6, 3) == ["aa bb", "bb cc", "cc dd"]
-    assert splitters.split_text("one\n\ntwo three\n\nfour", 9) == ["one", "two three", "four"]
+    assert splitters.split_text("one\n\ntwo three\n\nfour", 12) == ["one", "two three", "four"]
     assert splitters.split_text("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
     with pytest.raises(ValueError):
         splitters.split_text("x", 5, 5)
