@@ -24,6 +24,10 @@ W, K = 20, 5
 #: Text of a shard: what one automaton is compiled for.
 SHARD_BYTES = 4 << 20
 
+#: A phrase with more than this share of all rows is common: its windows are compared in PARTS parts, by digest. So
+#: many rows a phrase are never common. There are at most 1 / COMMON_SHARE common phrases.
+COMMON_SHARE, COMMON_ROWS, PARTS = 1e-4, 1000, 64
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
 
@@ -192,10 +196,10 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield chosen(*held)
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Streams shards through their automata. Rows without a phrase describe documents, or windows that a shard itself shows to be later copies."""
-    names = ["id", "row", "phrase", "start", "n", "windows", "sha"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
+    names = ["id", "row", "phrase", "part", "start", "n", "windows", "sha"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
 
     def made(count: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[n], k) if n in columns else pa.nulls(count, k) for n, k in zip(names, kinds, strict=True)], names=names)
@@ -228,11 +232,13 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield made(len(first), row=rows[doc[later]][first], start=start[later][first], n=length)
         # for the comparison across shards: the rest by phrase, with the windows that one place of a phrase picks in one row
         window, picked, phrase, digest, doc, start, ident = (x[kept] for x in (window, picked, phrase, digest, doc, start, ident))
-        cut = np.concatenate(([True], (picked[1:] != picked[:-1]) | (window[1:] != window[:-1] + 1)))
+        often = np.isin(phrase.view(np.int64), common)
+        part = np.where(often, digest % np.uint64(PARTS), np.uint64(0)).astype(np.int32)
+        cut = np.concatenate(([True], (picked[1:] != picked[:-1]) | (window[1:] != window[:-1] + 1) | often[1:]))
         first = np.nonzero(cut)[0]
         offsets = np.concatenate((first, [len(window)])).astype(np.int32)
         windows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(digest.view(np.int64)))
-        yield made(len(first), id=ident[first], row=rows[doc[first]], phrase=phrase[first].view(np.int64), start=start[first], windows=windows)
+        yield made(len(first), id=ident[first], row=rows[doc[first]], phrase=phrase[first].view(np.int64), part=part[first], start=start[first], windows=windows)
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,12 +301,14 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
     stated = docs.select("row", "text").mapInArrow(_stated, "at long, row long, phrase long, known boolean")
     dealt = stated.repartition("at").sortWithinPartitions("known", "phrase").select("row", "phrase", "known")
-    recurring = dealt.mapInArrow(_recurring, "row long, phrase long")
+    recurring = written(dealt.mapInArrow(_recurring, "row long, phrase long"), "phrases")
+    many = max(COMMON_ROWS, COMMON_SHARE * recurring.count())
+    common = np.array([r["phrase"] for r in recurring.groupBy("phrase").count().where(F.col("count") > many).collect()], np.int64)
     lists = recurring.groupBy("row").agg(F.collect_list("phrase").alias("phrases"))
     shards = docs.join(lists.hint("shuffle_hash"), "row", "left").select("id", "row", "text", F.coalesce("phrases", F.array().cast("array<long>")).alias("phrases"))
-    compared = written(shards.mapInArrow(_compared, "id long, row long, phrase long, start long, n long, windows array<long>, sha string"), "windows")
-    across = compared.where("phrase IS NOT NULL").select("phrase", "id", "row", "start", "windows")
-    later = across.repartition("phrase").sortWithinPartitions("phrase", "id", "start").mapInArrow(_resolved, "row long, start long, n long")
+    compared = written(shards.mapInArrow(lambda batches: _compared(batches, common), "id long, row long, phrase long, part int, start long, n long, windows array<long>, sha string"), "windows")
+    across = compared.where("phrase IS NOT NULL").select("phrase", "part", "id", "row", "start", "windows")
+    later = across.repartition("phrase", "part").sortWithinPartitions("phrase", "part", "id", "start").drop("part").mapInArrow(_resolved, "row long, start long, n long")
     within = compared.where("phrase IS NULL AND sha IS NULL").select("row", "start", "n")
     runs = later.unionByName(within).groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("lengths"))
     cut = docs.select("row", "text").join(runs.hint("shuffle_hash"), "row").mapInArrow(_cut, "row long, n_removed long, kept_sha256 string")

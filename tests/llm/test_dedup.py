@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chunkyard.llm import simhash
+from chunkyard.llm import substring_dedup as substring
 from chunkyard.llm.components import components
 from chunkyard.llm.exact_dedup import exact_dedup, exact_groups, possibly_repeated
 from chunkyard.llm.substring_dedup import W, substring_dedup
@@ -195,8 +196,9 @@ def passages(seed, n, vocabulary):
     return rows
 
 
-@pytest.mark.parametrize("seed,vocabulary", [(1, 5000), (2, 40), (3, 3)])
-def test_substring_dedup(spark, seed, vocabulary):
+@pytest.mark.parametrize("seed,vocabulary,common", [(1, 5000, 1000), (2, 40, 1000), (3, 3, 1000), (4, 5000, 2), (5, 40, 2)])
+def test_substring_dedup(spark, monkeypatch, seed, vocabulary, common):
+    monkeypatch.setattr(substring, "COMMON_ROWS", common)
     rows = passages(seed, 60, vocabulary)
     rows += [(-1, None), (-2, ""), (-3, "a"), (-4, "loop " * 3000), (-5, "é x " * 25), (None, rows[3][1]), rows[5], (10**12, rows[5][1])]
     got = [tuple(r) for r in substring_dedup(frame(spark, rows)).collect()]
