@@ -17,10 +17,30 @@ def join_pages(pages: DataFrame) -> DataFrame:
     return pages.groupBy("source").agg(F.count(F.lit(1)).alias("n_pages"), F.array_join(F.transform(ordered, lambda p: p.text), "\n").alias("text"))
 
 
-def with_ids(pieces: DataFrame, *order: str | Column) -> DataFrame:
-    """Chunks with ``chunk_index`` (from 0 within a source, in ``order``) and ``chunk_id``."""
-    index = F.row_number().over(Window.partitionBy("source").orderBy(*order)) - 1
-    return pieces.withColumn("chunk_index", index).withColumn("chunk_id", text.chunk_id(F.col("source"), F.col("chunk_index"), F.col("text")))
+#: Pages that are numbered together: a source's pages meet in blocks of so many, never all in one task.
+PAGE_BLOCK = 1024
+
+
+def with_ids(pieces: DataFrame, *order: str, block: Column | None = None) -> DataFrame:
+    """Chunks with ``chunk_index`` (from 0 within a source, in ``order``) and ``chunk_id``.
+
+    ``block`` is a number that doesn't fall along ``order``. With one, rows are numbered within (source, block), and only counts
+    of blocks are added up per source, so a source may hold any share of all rows.
+    """
+    if block is None:
+        index = F.row_number().over(Window.partitionBy("source").orderBy(*order)) - 1
+        return pieces.withColumn("chunk_index", index).withColumn("chunk_id", text.chunk_id(F.col("source"), F.col("chunk_index"), F.col("text")))
+    rows = pieces.withColumn("__block", F.coalesce(block.cast("long"), F.lit(-1))).withColumn("__source", F.coalesce("source", F.lit(""))).repartition("__source", "__block")
+    counts = rows.groupBy("__source", "__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__source", "__block", (F.sum("__n").over(Window.partitionBy("__source").orderBy("__block")) - F.col("__n")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__source", "__block").orderBy(*order)) - 1
+    numbered = rows.withColumn("__own", own).join(before, ["__source", "__block"])
+    indexed = numbered.withColumn("chunk_index", (F.col("__before") + F.col("__own")).cast("int")).drop("__source", "__block", "__before", "__own")
+    return indexed.withColumn("chunk_id", text.chunk_id(F.col("source"), F.col("chunk_index"), F.col("text")))
+
+
+def page_block(page: str = "page") -> Column:
+    return F.floor(F.col(page) / PAGE_BLOCK)
 
 
 def _shaped(pieces: DataFrame) -> DataFrame:
@@ -31,7 +51,7 @@ def recursive(pages: DataFrame, size: int = 1000, overlap: int = 0, markdown: bo
     """Chunks of at most ``size`` characters that don't cross pages."""
     cut = splitters.markdown_chunks if markdown else splitters.recursive_chunks
     pieces = pages.select("source", "page", F.posexplode(cut(F.col("text"), size, overlap)).alias("piece", "text")).withColumn("article", F.lit(None))
-    return _shaped(with_ids(pieces, "page", "piece"))
+    return _shaped(with_ids(pieces, "page", "piece", block=page_block()))
 
 
 def article_sections(pages: DataFrame) -> DataFrame:

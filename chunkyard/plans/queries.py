@@ -70,7 +70,7 @@ def join_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.with_ids(s.pages(spark, sf_dir), "page").select("chunk_id", "source", "page", "chunk_index")
+    return chunking.with_ids(s.pages(spark, sf_dir), "page", block=chunking.page_block()).select("chunk_id", "source", "page", "chunk_index")
 
 
 @query
