@@ -18,8 +18,6 @@ from chunkyard.llm.common import written
 LEVELS = ("domain", "language", "source")
 #: Leaves come to the driver; a corpus with more is refused rather than cut.
 MAX_LEAVES = 100_000
-#: A leaf's cut is looked for among bins of about so many documents.
-BIN_ROWS = 1000
 #: Weight of a child that the weights don't name.
 DEFAULT_WEIGHT = 1.0
 
@@ -108,7 +106,8 @@ def mix_sources(
     fields = ", ".join(f"{c} string" for c in own)
     plan = [(*leaf, b // tokens[leaf] if tokens[leaf] else int(b == 0 and not any(tokens.values())), b % tokens[leaf] if tokens[leaf] else 0) for leaf, b in budgets.items()]
     leaves = F.broadcast(spark.createDataFrame(plan, f"{fields}, __epochs long, __rest long"))  # at most MAX_LEAVES rows
-    bits = max(0, (max((r["rows"] for r in stats), default=0) // BIN_ROWS).bit_length())
+    # a leaf's cut is looked for among about as many bins as a bin of the largest leaf holds documents
+    bits = (max((r["rows"] for r in stats), default=0).bit_length() + 1) // 2
     drawn = lambda d: d.withColumn("__key", F.xxhash64(F.lit(seed), F.col("__epochs"), F.col("__mark")))
     bin_of = F.shiftrightunsigned(F.col("__key").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits) if bits else F.lit(0).cast("long")
 
