@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkyard.llm.common import slices, texts_of, written
+from chunkyard.llm.common import mixed, slices, texts_of, written
 from chunkyard.llm.components import components
 
 SEED = 42
@@ -27,13 +27,23 @@ BLOCKS = 6
 PAIRWISE = 2048
 
 
+#: Copies that share at least four fifths of their five-word shingles differ in more bits than the contract's three:
+#: the stage links at five bits of any of three fingerprints, and its keys join three of eight blocks.
+NEAR_DISTANCE, NEAR_BLOCKS, NEAR_PRINTS = 5, 8, 3
+
+
 def fingerprint(text: str, shingle: int = 3, seed: int = SEED) -> int:
     """The SimHash of a text: ASCII-lower-cased words between white space, shingles with repeats, XXH64, majority of bits."""
+    return _prints(text, shingle, seed, 1)[0]
+
+
+def _prints(text: str, shingle: int, seed: int, n_prints: int) -> list[int]:
+    """``n_prints`` SimHashes: the first of the shingles' hashes, each further one of the hashes scrambled once more."""
     import xxhash
 
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return [0] * n_prints
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -41,11 +51,15 @@ def fingerprint(text: str, shingle: int = 3, seed: int = SEED) -> int:
     n = len(words) - k + 1
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
-        bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    found = []
+    for _ in range(n_prints):
+        counts = np.zeros(64, np.int64)
+        for i in range(0, n, 1 << 16):
+            bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts += bits.sum(axis=0, dtype=np.int64)
+        found.append(int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0]))
+        hashes = mixed(hashes + np.uint64(0x9E3779B97F4A7C15))
+    return found
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -71,6 +85,8 @@ def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
 def _least_linked(fps: np.ndarray, free: int, distance: int) -> np.ndarray:
     """For sorted distinct fingerprints that agree outside the bits ``free``: the smallest index each one reaches."""
     n = len(fps)
+    if n > PAIRWISE and distance > DISTANCE:
+        return _reached(fps, distance)
     if n <= PAIRWISE:
         near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= distance
         a, b = np.nonzero(near)
@@ -91,17 +107,34 @@ def _least_linked(fps: np.ndarray, free: int, distance: int) -> np.ndarray:
     return labels
 
 
+def _reached(fps: np.ndarray, distance: int) -> np.ndarray:
+    """As :func:`_least_linked`, by search: each fingerprint takes all it links to out of those not reached, so groups of copies soon run empty."""
+    labels = np.full(len(fps), -1)
+    left = np.arange(len(fps))
+    while len(left):
+        root, todo = left[0], [left[0]]
+        left = left[1:]
+        labels[root] = root
+        while todo and len(left):
+            near = np.bitwise_count(fps[left] ^ fps[todo.pop()]) <= distance
+            new, left = left[near], left[~near]
+            labels[new] = root
+            todo += new.tolist()
+    return labels
+
+
 def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """(u, v) links that join exactly the distinct values of ``fp`` that chains of at most ``distance`` bits join.
 
     Under each key a fingerprint links to the smallest one that it reaches there, so links grow with fingerprints and
-    not with pairs.
+    not with pairs. With a column ``node``, links are between the nodes that fingerprints stand for.
     """
+    name = "node" if "node" in fps.columns else "fp"
     masks = block_masks(blocks, distance)
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)]))
-    spread = fps.select("fp", keys.alias("key")).select("key.t", "key.k", "fp")
+    spread = fps.select("fp", *([name] if name != "fp" else []), keys.alias("key")).select("key.t", "key.k", "fp", *([name] if name != "fp" else []))
 
-    def links(t: np.ndarray, k: np.ndarray, fp: np.ndarray, last: bool):
+    def links(t: np.ndarray, k: np.ndarray, fp: np.ndarray, *node: np.ndarray, last: bool):
         cuts = np.nonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1]))[0] + 1
         starts = np.concatenate(([0], cuts))
         ends = np.concatenate((cuts, [len(t)]))
@@ -109,11 +142,22 @@ def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS)
         us, vs = [], []
         sizes = (ends - starts)[whole]
         for i in np.nonzero(sizes > 1)[0]:
-            group = np.sort(fp[starts[i] : ends[i]].view(np.uint64))
+            group, named = fp[starts[i] : ends[i]].view(np.uint64), None
+            if node:  # equal fingerprints of different nodes are one here, and link their nodes
+                named = node[0][starts[i] : ends[i]].view(np.uint64)
+                order = np.lexsort((named, group))
+                group, named = group[order], named[order]
+                fresh = np.concatenate(([True], group[1:] != group[:-1]))
+                lead = named[fresh][np.cumsum(fresh) - 1]
+                us.append(named[lead != named])
+                vs.append(lead[lead != named])
+                group, named = group[fresh], named[fresh]
+            else:
+                group = named = np.sort(group)
             least = _least_linked(group, ~masks[t[starts[i]]] & (1 << 64) - 1, distance)
             moved = np.nonzero(least != np.arange(len(group)))[0]
-            us.append(group[moved])
-            vs.append(group[least[moved]])
+            us.append(named[moved])
+            vs.append(named[least[moved]])
         return us, vs, 0 if last else starts[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,14 +202,39 @@ def near_groups(
     return rows.join(labels, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """The rows of ``df`` that stay, one of each component of :func:`near_groups`, with all their columns.
+def near_dedup(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = NEAR_DISTANCE, blocks: int = NEAR_BLOCKS, n_prints: int = NEAR_PRINTS
+) -> DataFrame:
+    """The rows of ``df`` that stay, one of each group of near copies, with all their columns.
 
-    The smallest id stays, null ids last, then an arbitrary but fixed one. Rows repeated with id and text stay or go
-    together. Texts shuffle only if the rows to drop are too many to be sent to every task.
+    Each text has ``n_prints`` independent fingerprints; texts link if they differ in at most ``distance`` bits of any, and
+    groups are the components of links. That covers the links of :func:`near_groups` at its defaults, and finds most pairs that
+    share four fifths of their five-word shingles (README). The smallest id stays, null ids last, then an arbitrary but fixed
+    one. Rows repeated with id and text stay or go together. Texts shuffle only if the rows to drop are too many to be
+    sent to every task.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            prints = np.array([_prints(t, shingle, SEED, n_prints) for t in texts_of(batch.column(1))], dtype=np.uint64).view(np.int64)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(prints.reshape(-1)), n_prints).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["who", "prints"])
+
     mark = F.xxhash64(F.col(id_col), F.col(text_col))
     who = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), mark.alias("mark"))
-    groups = near_groups(df.select(who.alias("__who"), F.col(text_col).alias("__text")), "__who", "__text", shingle, distance, blocks)
-    dropped = written(groups.where("__who.mark <> component_id.mark").select("__who.mark").distinct(), "dropped")
+    kind = df.select(who.alias("who")).schema["who"].dataType.simpleString()
+    rows = written(df.select(who.alias("who"), F.col(text_col).alias("text")).mapInArrow(run, f"who {kind}, prints array<long>"), "fingerprints")
+    classes = rows.groupBy(F.col("prints")[0].alias("node")).agg(F.min("who").alias("first"))
+    links = None
+    for i in range(n_prints):
+        fps = rows.select(F.col("prints")[i].alias("fp"), F.col("prints")[0].alias("node")).distinct()
+        found = close_links(fps if i else fps.select("fp"), distance, blocks)
+        links = found if links is None else links.unionByName(found)
+    nodes = components(links)
+    rooted = classes.join(nodes, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted, "classes")
+    named = written(rooted.groupBy("root").agg(F.min("first").alias("stays")), "components")
+    labels = written(rooted.join(named, "root").select("node", F.col("stays.mark").alias("stays")), "labels")
+    dropped = rows.select("who.mark", F.col("prints")[0].alias("node")).join(labels, "node").where("mark <> stays").select("mark").distinct()
+    dropped = written(dropped, "dropped")
     return df.join(dropped, mark == dropped.mark, "left_anti")

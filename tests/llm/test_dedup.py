@@ -152,13 +152,79 @@ def test_components_of_a_long_chain_and_loops(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_near_dedup_keeps_one_of_each_component(spark):
-    kept = simhash.near_dedup(frame(spark, NEAR))
+def brute_prints(text):
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0, 0, 0
+    k = min(3, len(words))
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[j : j + k]), seed=42) for j in range(len(words) - k + 1)]
+
+    def scrambled(x, m=(1 << 64) - 1):
+        x = x + 0x9E3779B97F4A7C15 & m
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    vote = lambda hs: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    once = [scrambled(h) for h in hashes]
+    return vote(hashes), vote(once), vote([scrambled(h) for h in once])
+
+
+def brute_near(rows):
+    """Group names of rows whose fingerprints differ in at most five bits of any, by chains."""
+    prints = [brute_prints(t) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if any((x ^ y).bit_count() <= 5 for x, y in zip(prints[a], prints[b], strict=True)):
+                group[find(a)] = find(b)
+    return [find(i) for i in range(len(rows))]
+
+
+def edited_copies():
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for i in range(25):
+        base = [rng.choice(words) for _ in range(150)]
+        for c in range(5):
+            own = list(base)
+            for _ in range(c):
+                own[rng.randrange(150)] = rng.choice(words)
+            rows.append((rng.randrange(10**6), " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("rows", [NEAR, edited_copies()], ids=["odd", "edited"])
+def test_near_dedup_keeps_one_of_each_group(spark, rows):
+    kept = simhash.near_dedup(frame(spark, rows))
     assert kept.columns == frame(spark, []).columns
-    fps = {t: brute_fingerprint(t) for _, t in NEAR}
-    root = brute_components(fps.values())
-    groups = [root[fps[r["text"]]] for r in kept.dropDuplicates(["doc_id", "text"]).collect()]
-    assert len(groups) == len(set(groups)) == len(set(root.values()))
+    want = {}
+    for (i, t), g in zip(rows, brute_near(rows), strict=True):
+        want.setdefault(g, set()).add((i is None, i or 0, t))
+    stays = {min(g, key=lambda x: x[:2])[:2] for g in want.values()}
+    got = {(r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()}
+    assert got == stays
+    if rows is not NEAR:
+        assert 25 <= len(got) < 50  # of 125: most copies with up to four of 150 words changed are found, no two originals meet
+
+
+def test_reached_is_exact():
+    import numpy as np
+
+    rng = random.Random(3)
+    group = sorted({rng.getrandbits(12) << 20 for _ in range(200)})
+    got = simhash._reached(np.array(group, np.uint64), 2)
+    want = brute_components(group, 2)
+    assert [group[g] for g in got] == [want[x] for x in group]
 
 
 def brute_passages(rows):

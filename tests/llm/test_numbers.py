@@ -138,7 +138,7 @@ def test_mix_sources(spark, share, epochs, weights):
 
 
 def brute_pipeline_dedup(rows):
-    from tests.llm.test_dedup import brute_components, brute_fingerprint, strip
+    from tests.llm.test_dedup import brute_near, strip
 
     best = {}
     for r in rows:
@@ -146,11 +146,9 @@ def brute_pipeline_dedup(rows):
         if key not in best or (-len(r["text"]), r["doc_id"]) < (-len(best[key]["text"]), best[key]["doc_id"]):
             best[key] = r
     exact = list(best.values())
-    fps = {r["doc_id"]: brute_fingerprint(r["text"]) for r in exact}
-    root = brute_components(fps.values())
     least = {}
-    for i, f in fps.items():
-        least[root[f]] = min(i, least.get(root[f], i))
+    for r, g in zip(exact, brute_near([(r["doc_id"], r["text"]) for r in exact]), strict=True):
+        least[g] = min(r["doc_id"], least.get(g, r["doc_id"]))
     return {r["doc_id"] for r in exact}, set(least.values())
 
 
