@@ -93,7 +93,7 @@ def brute_components(fps, distance=3):
     for a in names:
         for b in names:
             if a < b and (a ^ b).bit_count() <= distance:
-                root[find(b)] = find(a)
+                root[max(find(a), find(b))] = min(find(a), find(b))
     return {x: find(x) for x in names}
 
 
