@@ -266,3 +266,18 @@ def test_held_out_accuracy(spark):
     other = model.scores("ωω ψψ χχ " * 20)
     assert int(np.argmax(other[:4])) == 3
     assert len(trigrams("12 !")) == 0
+
+
+def test_slices_bound_the_text_of_a_batch():
+    import pyarrow as pa
+
+    from chunkyard.llm.common import slices
+
+    texts = ["a" * 10, None, "b" * 1000, "", "c" * 400, "d" * 300, "e" * 300] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["i", "t"])
+    for column in (batch, batch.slice(2, 15)):
+        parts = list(slices(iter([column]), 1, 700))
+        assert [x for p in parts for x in p.column(1).to_pylist()] == column.column(1).to_pylist()
+        assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column(1).to_pylist()) <= 700 for p in parts)
+    assert len(list(slices(iter([batch]), 1, 1 << 20))) == 1
+    assert list(slices(iter([batch.slice(0, 0)]), 1)) == []
