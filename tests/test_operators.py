@@ -15,7 +15,7 @@ from chunkyard.plans import fixtures
 from chunkyard.sources import collections, files, reports
 from chunkyard.streaming import ingest
 
-HOME, AWAY = "data/raw/firenze_regolamento_edilizio.pdf", "data/raw/torino_regolamento_edilizio.pdf"
+HOME, AWAY = "rules/north_building.pdf", "rules/south_building.pdf"
 QUOTE, OTHER = "isolamento dell'edificio da umidità", "penetrazione di animali"
 GOLDEN = "id string, question string, expected_answer string, source string, page int, gold_quotes array<string>, type string, difficulty string"
 
@@ -70,7 +70,7 @@ def test_scores_by_difficulty_misses_and_separability(spark):
     rows = {r["difficulty"]: r for r in metrics.scores(metrics.per_question(found, gold)).collect()}
     assert (rows[None]["n"], rows["lexical"]["mrr"], rows["paraphrased"]["hit@20"]) == (3, 0.75, 0.0)
     missed = metrics.misses(found, gold).collect()
-    assert [(r["id"], r["top"]) for r in missed] == [("c", ["firenze"])]
+    assert [(r["id"], r["top"]) for r in missed] == [("c", ["north"])]
     spread = metrics.score_distribution(found, gold)
     assert sorted((r["type"], r["id"], r["score"]) for r in spread.collect()) == [("in_corpus", "a", 0.5), ("in_corpus", "b", 0.5), ("out_of_corpus", "o", 0.5)]
     assert metrics.separability(spread).first()["separable"] is False
