@@ -224,17 +224,13 @@ def near_dedup(
     who = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), mark.alias("mark"))
     kind = df.select(who.alias("who")).schema["who"].dataType.simpleString()
     rows = written(df.select(who.alias("who"), F.col(text_col).alias("text")).mapInArrow(run, f"who {kind}, prints array<long>"), "fingerprints")
-    classes = rows.groupBy(F.col("prints")[0].alias("node")).agg(F.min("who").alias("first"))
-    links = None
-    for i in range(n_prints):
-        fps = rows.select(F.col("prints")[i].alias("fp"), F.col("prints")[0].alias("node")).distinct()
-        found = close_links(fps if i else fps.select("fp"), distance, blocks)
-        links = found if links is None else links.unionByName(found)
-    nodes = components(links)
-    rooted = classes.join(nodes, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    rooted = written(rooted, "classes")
-    named = written(rooted.groupBy("root").agg(F.min("first").alias("stays")), "components")
-    labels = written(rooted.join(named, "root").select("node", F.col("stays.mark").alias("stays")), "labels")
-    dropped = rows.select("who.mark", F.col("prints")[0].alias("node")).join(labels, "node").where("mark <> stays").select("mark").distinct()
+    held = rows.withColumn("node", F.col("prints")[0])
+    for i in range(n_prints):  # what one fingerprint joins is one node to the next, so a large group is linked once
+        fps = held.select(F.col("prints")[i].alias("fp"), "node").distinct()
+        roots = written(components(close_links(fps if i else fps.select("fp"), distance, blocks)), "roots")
+        moved = held.join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
+        held = written(moved.select("who", "prints", F.coalesce("root", "node").alias("node")), "nodes")
+    named = written(held.groupBy("node").agg(F.min("who").alias("stays")).select("node", F.col("stays.mark").alias("stays")), "labels")
+    dropped = held.select("who.mark", "node").join(named, "node").where("mark <> stays").select("mark").distinct()
     dropped = written(dropped, "dropped")
     return df.join(dropped, mark == dropped.mark, "left_anti")
