@@ -27,7 +27,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five differing bits or fewer in any of three SimHash fingerprints."""
+    """One document of each group of near copies: five differing bits or fewer in either of two SimHash fingerprints."""
     return near_dedup(docs).select(docs.columns)
 
 

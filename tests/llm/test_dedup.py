@@ -157,7 +157,7 @@ def brute_prints(text):
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0, 0, 0
+        return 0, 0
     k = min(3, len(words))
     hashes = [xxhash.xxh64_intdigest(b" ".join(words[j : j + k]), seed=42) for j in range(len(words) - k + 1)]
 
@@ -168,8 +168,7 @@ def brute_prints(text):
         return x ^ x >> 31
 
     vote = lambda hs: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-    once = [scrambled(h) for h in hashes]
-    return vote(hashes), vote(once), vote([scrambled(h) for h in once])
+    return vote(hashes), vote([scrambled(h) for h in hashes])
 
 
 def brute_near(rows):
