@@ -203,6 +203,15 @@ def near_groups(
     return rows.join(labels, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _starred(links: DataFrame) -> DataFrame:
+    """Links of single fingerprints with each one's roots joined to the smallest: the same components from fewer links.
+
+    A fingerprint has one root under each key, so the lists are as short as the keys are few.
+    """
+    stars = links.groupBy("u").agg(F.collect_set("v").alias("vs")).select(F.array_union("vs", F.array("u")).alias("all"))
+    return stars.select(F.explode("all").alias("u"), F.array_min("all").alias("v")).where("u <> v").distinct()
+
+
 def near_dedup(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = NEAR_DISTANCE, blocks: int = NEAR_BLOCKS, n_prints: int = NEAR_PRINTS
 ) -> DataFrame:
@@ -228,7 +237,8 @@ def near_dedup(
     held = rows.withColumn("node", F.col("prints")[0])
     for i in range(n_prints):  # what one fingerprint joins is one node to the next, so a large group is linked once
         fps = held.select(F.col("prints")[i].alias("fp"), "node").distinct()
-        roots = written(components(close_links(fps if i else fps.select("fp"), distance, blocks)), "roots")
+        links = close_links(fps, distance, blocks) if i else _starred(close_links(fps.select("fp"), distance, blocks))
+        roots = written(components(links), "roots")
         moved = held.join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
         held = written(moved.select("who", "prints", F.coalesce("root", "node").alias("node")), "nodes")
     named = written(held.groupBy("node").agg(F.min("who").alias("stays")).select("node", F.col("stays.mark").alias("stays")), "labels")
