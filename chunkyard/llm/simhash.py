@@ -29,7 +29,7 @@ PAIRWISE = 2048
 
 #: Copies that share at least four fifths of their five-word shingles differ in more bits than the contract's three:
 #: the stage links at five bits of any of its fingerprints, and its keys join three of eight blocks. Every further
-#: fingerprint finds more and shuffles 56 keys a text more; with three the projected disk comes near the budget.
+#: fingerprint finds more and shuffles 56 keys a text more; the pipeline asks for more than this default.
 NEAR_DISTANCE, NEAR_BLOCKS, NEAR_PRINTS = 5, 8, 2
 
 

@@ -216,6 +216,25 @@ def test_near_dedup_keeps_one_of_each_group(spark, rows):
         assert 25 <= len(got) < 50  # of 125: most copies with up to four of 150 words changed are found, no two originals meet
 
 
+def test_pipeline_links_by_every_fingerprint(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(4000)]
+    rows, far = [], lambda a, b: [(x ^ y).bit_count() > 5 for x, y in zip(a, b, strict=True)]
+    while len(rows) < 12:  # pairs that agree in the third or fourth fingerprint alone
+        base = [rng.choice(words) for _ in range(150)]
+        own = list(base)
+        for _ in range(3):
+            own[rng.randrange(150)] = rng.choice(words)
+        pair = [" ".join(base), " ".join(own)]
+        apart = far(*(simhash._prints(t, 3, simhash.SEED, 4) for t in pair))
+        if apart[0] and apart[1] and apart[2 + len(rows) // 2 % 2] < apart[3 - len(rows) // 2 % 2]:
+            rows += [(len(rows) + i, t) for i, t in enumerate(pair)]
+    kept = corpus_pipeline.near_copies(spark, frame(spark, rows).select("doc_id", "text"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 12, 2))
+
+
 def test_reached_is_exact():
     import numpy as np
 
