@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +17,12 @@ from pyspark.sql import functions as F
 
 from chunkyard.llm.common import slices, texts_of, written
 
-#: Labelled rows that the text model is fitted on, drawn by hash; everything else covers all rows.
+#: Rows of each label that the text model is fitted on, drawn by hash; everything else covers all rows.
 SAMPLE_ROWS = 5000
-#: Languages with fewer sampled rows than this are no classes.
+#: Labels with fewer rows in the whole table than this are no classes.
 MIN_ROWS = 5
-MAX_LANGUAGES = 64
+#: A task of the fit sums up so many languages at once (32 MB).
+HELD_LANGUAGES = 64
 BUCKETS = 1 << 16
 #: Trigrams overlap: three count as one piece of evidence, and no text counts for more than so many.
 OVERLAP, MOST_GRAMS = 3.0, 300
@@ -85,34 +85,47 @@ class TextModel:
 
     @classmethod
     def fit(cls, df: DataFrame, text: Column, label: Column, key: Column, sample_rows: int = SAMPLE_ROWS) -> TextModel:
-        """Counts are aggregated where the sample lies; languages times :data:`BUCKETS` sums reach the driver."""
+        """Classes are the labels of at least :data:`MIN_ROWS` of all rows; each is fitted on about ``sample_rows`` of its own, or on all if it has no more.
+
+        Counts are aggregated where the sample lies; languages times :data:`BUCKETS` sums reach the driver.
+        """
         labelled = df.select(text.alias("text"), label.alias("label"), key.alias("key")).where("label IS NOT NULL")
-        least = labelled.select("key").orderBy("key").limit(sample_rows).agg(F.max("key")).first()[0]
-        if least is None:
+        rows = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {MIN_ROWS}").collect()}
+        languages = sorted(rows)
+        if not languages:
             return cls([], np.zeros((BUCKETS, 1), np.float32))
+        most = [(1 << 64) * sample_rows // rows[x] - (1 << 63) if rows[x] > sample_rows else (1 << 63) - 1 for x in languages]
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[str, np.ndarray] = {}
-            rows: dict[str, int] = {}
+
+            def out() -> Iterator[pa.RecordBatch]:
+                for name, s in sums.items():
+                    at = np.nonzero(s)[0]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(s[at])], names=["label", "bucket", "n"])
+                sums.clear()
+
             for batch in slices(batches, 0):
                 for t, name in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                    if name not in sums and len(sums) >= HELD_LANGUAGES:
+                        yield from out()
                     sums.setdefault(name, np.zeros(BUCKETS, np.int64))
                     sums[name] += np.bincount(trigrams(t), minlength=BUCKETS)
-                    rows[name] = rows.get(name, 0) + 1
-            for name, s in sums.items():
-                at = np.nonzero(s)[0]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(s[at], rows[name]))], names=["label", "bucket", "n"])
+            yield from out()
 
-        sample = labelled.where(F.col("key") <= least).select("text", "label")
+        bounds = F.create_map(*[F.lit(x) for pair in zip(languages, most, strict=True) for x in pair])
+        sample = labelled.where(F.col("key") <= F.try_element_at(bounds, F.col("label"))).select("text", "label")
         summed = sample.mapInArrow(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-        named = summed.where(f"bucket = -1 AND n >= {MIN_ROWS}").orderBy(F.desc("n"), "label").limit(MAX_LANGUAGES).collect()
-        languages = sorted(r["label"] for r in named)
-        counts = np.zeros((BUCKETS, len(languages)))
-        for r in summed.where(F.col("label").isin(languages)).where("bucket >= 0").toLocalIterator():
-            counts[r["bucket"], languages.index(r["label"])] = r["n"]
-        smooth = counts + 0.05
-        table = np.log(smooth / smooth.sum(axis=0))
-        return cls(languages, np.column_stack((table, np.full(BUCKETS, -math.log(BUCKETS)))).astype(np.float32))
+        at = {x: i for i, x in enumerate(languages)}
+        counts = np.zeros((BUCKETS, len(languages)), np.float32)
+        for r in summed.toLocalIterator():
+            counts[r["bucket"], at[r["label"]]] = r["n"]
+        table = np.empty((BUCKETS, len(languages) + 1), np.float32)
+        table[:, -1] = -math.log(BUCKETS)
+        for i in range(len(languages)):
+            smooth = counts[:, i].astype(np.float64) + 0.05
+            table[:, i] = np.log(smooth / smooth.sum())
+        return cls(languages, table)
 
     def scores(self, text: str) -> list[float]:
         """Per language, and last for none of them, the log-likelihood that counts; then the number of trigrams."""
@@ -126,7 +139,7 @@ class TextModel:
 
     def column(self, df: DataFrame, text: Column) -> Column:
         """:meth:`scores` of a text column, as an array of doubles."""
-        held = df.sparkSession.sparkContext.broadcast((self.languages, self.table))  # MAX_LANGUAGES columns at most: 17 MB
+        held = df.sparkSession.sparkContext.broadcast((self.languages, self.table))  # 256 KB a language
 
         @F.arrow_udf("array<double>")
         def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -139,23 +152,17 @@ class TextModel:
 
 def _host_priors(df: DataFrame, languages: list[str]) -> DataFrame:
     """(host, prior): log-probabilities for each host, from (host, language) of all rows by their texts alone."""
-    counts = [F.count_if(F.col("language") == x).alias(f"n{i}") for i, x in enumerate(languages)]
-    hosts = df.groupBy("host").agg(*counts).withColumn("domain", domain_of(F.col("host")))
+    counts = [F.count_if(F.col("language") == x) for x in languages]
+    hosts = df.groupBy("host").agg(F.array(*counts).alias("n")).withColumn("domain", domain_of(F.col("host")))
     hosts = written(hosts, "hosts")
-    names = [f"n{i}" for i in range(len(languages))]
-    whole = hosts.agg(*[F.sum(n).alias(n) for n in names]).first()
-    total = sum(whole[n] or 0 for n in names)
-    prior = [((whole[n] or 0) + 1) / (total + len(names)) for n in names]
-    sums = [F.sum(n).alias(f"d{i}") for i, n in enumerate(names)]
-    domains = written(hosts.groupBy("domain").agg(*sums), "domains")
-    both = hosts.join(domains, "domain")
-    d_all = reduce(lambda a, b: a + b, [F.col(f"d{i}") for i in range(len(names))])
-    h_all = reduce(lambda a, b: a + b, [F.col(n) for n in names])
-    smoothed = []
-    for i, p in enumerate(prior):
-        domain = (F.col(f"d{i}") + SMOOTHING * F.lit(p)) / (d_all + SMOOTHING)
-        smoothed.append(F.log((F.col(f"n{i}") + SMOOTHING * domain) / (h_all + SMOOTHING)))
-    return both.select("host", F.array(*smoothed).alias("prior"))
+    sums = F.array(*[F.sum(F.col("n")[i]) for i in range(len(languages))])
+    whole = [x or 0 for x in hosts.agg(sums.alias("n")).first()["n"]]
+    prior = F.array(*[F.lit((x + 1) / (sum(whole) + len(languages))) for x in whole])
+    domains = written(hosts.groupBy("domain").agg(sums.alias("d")), "domains")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b)
+    both = hosts.join(domains, "domain").select("host", "n", "d", total("n").alias("h_all"), total("d").alias("d_all"))
+    domain = lambda p, i: (F.col("d")[i] + SMOOTHING * p) / (F.col("d_all") + SMOOTHING)
+    return both.select("host", F.transform(prior, lambda p, i: F.log((F.col("n")[i] + SMOOTHING * domain(p, i)) / (F.col("h_all") + SMOOTHING))).alias("prior"))
 
 
 def identify_languages(
@@ -170,7 +177,7 @@ def identify_languages(
     """``df`` with ``language``, ``confidence``, ``accepted`` and ``text_language`` (the text's evidence alone).
 
     ``text``, ``declared`` and ``address`` are columns of ``df``; by default text, lang and source. Rows whose declaration names
-    a language are the labels that the text model is fitted on, a sample of ``sample_rows`` of them drawn by hash. A row
+    a language are labels; each label of :data:`MIN_ROWS` rows or more is a class, fitted on a sample of about ``sample_rows`` of its rows drawn by hash. A row
     is accepted if its best language is at least ``min_confidence`` probable. Texts without letters, null ones included,
     have no evidence of their own: their language is "und", their confidence 0, and they are not accepted. Null or
     unreadable declarations and addresses count as no evidence; rows without address share one host. Repeated rows are judged alike. No rows in, no
@@ -183,15 +190,13 @@ def identify_languages(
     languages = model.languages
     host = F.coalesce(host_of(where), F.lit(""))
 
-    def argmax(scores: list[Column]) -> Column:
-        best = F.greatest(*[F.struct(s.alias("s"), F.lit(-i).alias("i")) for i, s in enumerate(scores)]) if len(scores) > 1 else F.struct(scores[0].alias("s"), F.lit(0).alias("i"))
-        return best
-
     n = len(languages)
-    likelihood = lambda i: F.col("__scores")[i]
+    known = F.array(*[F.lit(x) for x in languages]) if n else F.array().cast("array<string>")
     names = F.array(*[F.lit(x) for x in [*languages, UNKNOWN]])
-    name_of = lambda best: F.element_at(names, 1 - best["i"])
-    alone = F.when(F.col("__scores")[n + 1] == 0, F.lit(UNKNOWN)).otherwise(name_of(argmax([likelihood(i) for i in range(n)] + [likelihood(n) + math.log(OTHER_PRIOR)])))
+    name_of = lambda scores: F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int"))
+    likelihoods = F.slice("__scores", 1, n)
+    other = F.col("__scores")[n] + math.log(OTHER_PRIOR)
+    alone = F.when(F.col("__scores")[n + 1] == 0, F.lit(UNKNOWN)).otherwise(name_of(F.array_append(likelihoods, other)))
 
     seen = df.select(host.alias("host"), model.column(df, text).alias("__scores")).select("host", alone.alias("language"))
     priors = written(_host_priors(seen, languages), "priors") if n else None
@@ -201,19 +206,17 @@ def identify_languages(
     rows = df.select(row, host.alias("host"), tag.alias("__tag"), address_hint(where).alias("__hint"), model.column(df, text).alias("__scores"))
     rows = rows.join(priors, "host", "left") if n else rows
 
-    def told(evidence: Column, language: str, truth: float) -> Column:
-        known = evidence.isin(languages)
-        return F.when(evidence.isNull() | ~known, F.lit(0.0)).when(evidence == language, F.lit(math.log(truth))).otherwise(F.lit(math.log((1 - truth) / max(1, n - 1))))
+    def told(evidence: Column, language: Column, truth: float) -> Column:
+        unknown = evidence.isNull() | ~evidence.isin(languages)
+        return F.when(unknown, F.lit(0.0)).when(evidence == language, F.lit(math.log(truth))).otherwise(F.lit(math.log((1 - truth) / max(1, n - 1))))
 
-    scores = [likelihood(i) + F.coalesce(F.col("prior")[i], F.lit(0.0)) + told(F.col("__tag"), x, DECLARED_TRUE) + told(F.col("__hint"), x, ADDRESS_TRUE) for i, x in enumerate(languages)]
-    scores.append(likelihood(n) + math.log(OTHER_PRIOR))
-    rows = rows.withColumn("__post", F.array(*scores))
-    posts = [F.col("__post")[i] for i in range(n + 1)]
-    best = argmax(posts)
+    prior = F.col("prior") if n else F.array().cast("array<double>")
+    score = lambda x, i: F.col("__scores")[i] + F.coalesce(prior[i], F.lit(0.0)) + told(F.col("__tag"), x, DECLARED_TRUE) + told(F.col("__hint"), x, ADDRESS_TRUE)
+    rows = rows.withColumn("__post", F.array_append(F.transform(known, score) if n else F.array().cast("array<double>"), other))
     empty = F.col("__scores")[n + 1] == 0
     top = F.array_max("__post")
-    mass = reduce(lambda a, b: a + b, [F.exp(p - top) for p in posts])
-    language = F.when(empty, F.lit(UNKNOWN)).otherwise(name_of(best))
+    mass = F.aggregate("__post", F.lit(0.0), lambda a, p: a + F.exp(p - top))
+    language = F.when(empty, F.lit(UNKNOWN)).otherwise(name_of(F.col("__post")))
     confidence = F.when(empty, F.lit(0.0)).otherwise(F.lit(1.0) / mass)
     judged = rows.withColumn("__language", language).withColumn("__confidence", confidence)
     accepted = (F.col("__language") != UNKNOWN) & (F.col("__confidence") >= min_confidence)

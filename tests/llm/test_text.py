@@ -268,6 +268,18 @@ def test_held_out_accuracy(spark):
     assert len(trigrams("12 !")) == 0
 
 
+def test_rare_and_many_languages_are_classes(spark):
+    rng = random.Random(7)
+    rare = lambda: " ".join(rng.choice("czy jest nie się oraz który przez tylko może".split()) for _ in range(30))
+    rows = [(i, speech(rng, "en", 30), "en", "h") for i in range(2000)] + [(5000 + i, rare(), "pl", "h") for i in range(6)]
+    rows += [(6000 + i, " ".join(f"{x}{rng.choice('aeiou')}{x}" for _ in range(20)), x, "h") for i, x in enumerate([a + b for a in "bcdfghjk" for b in "qvwxzlmnt"] * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r["doc_id"]: r for r in identify_languages(df, sample_rows=50).collect()}
+    wrong = [(i, x, got[i]["language"]) for i, _, x, _ in rows if got[i]["language"] != x or not got[i]["accepted"]]
+    assert len(got) == len(rows) and not [w for w in wrong if w[1] in ("en", "pl")]
+    assert len(wrong) <= 0.01 * len(rows)
+
+
 def test_slices_bound_the_text_of_a_batch():
     import pyarrow as pa
 
