@@ -31,8 +31,21 @@ ENDS_OPEN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 #: Elements that such an end doesn't reach across.
 FENCES = frozenset("ul ol dl table body html article section div main aside blockquote".split())
 
-#: Words in class, id or role that mark what is not the article.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_WORDS = (
+    r"(?:ad|ads|advert\w*|adbox|banner|breadcrumbs?|disqus|respond|replies|community|cookies?|consent|gdpr|notice|alert|promo\w*|sponsor\w*|"
+    r"sidebar|side|rail|nav\w*|menu|toolbar|header|masthead|footer|foot|copyright|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|login|"
+    r"popup|modal|overlay|widget|pagination|pager|search|skip|tags?|print|hidden|contentinfo|complementary|navigation|dialog|comments?|commentlist)"
+)
+#: Names in class, id or role that mark what is not the article: a whole name of such words, or one of the site's own parts.
 UNLIKELY = re.compile(
+    rf"(?:^|\s)(?:{_WORDS}(?:[_-]{_WORDS})*(?:[_-](?:\d+|left|right|top|bottom|area|box|slot|list|links?|buttons?|bar))?|"
+    r"(?:site|global|main|top|left|right|mobile|primary|secondary)[_-](?:sidebar|nav\w*|menu|toolbar|masthead|footer|banner|ads?|header)|page[_-]footer)(?:$|\s)",
+    re.I,
+)
+#: Names of readers' comments, which may be longer than the article.
+COMMENTS = re.compile(r"(?:^|\s)(?:comments?(?:[_-](?:\d+|area|box|list|body|content|section))?|commentlist|disqus|respond|replies)(?:$|\s)", re.I)
+LIKELY = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|breadcrumbs?|comments?|commentlist|disqus|respond|replies|community|cookies?|consent|gdpr|notice|alert|promo\w*|sponsor\w*|"
     r"sidebar|side|rail|nav\w*|menu|toolbar|header|masthead|footer|foot|copyright|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|login|"
     r"popup|modal|overlay|widget|pagination|pager|search|skip|tags?|print|hidden|contentinfo|complementary|navigation|dialog)(?:$|[\s_-])",
@@ -48,9 +61,13 @@ MENU_LINKS = 2 / 3
 
 
 class Tree:
-    """Elements with their parents, and blocks of text in page order: (element, text, characters in links)."""
+    """Elements with their parents, and blocks of text in page order: (element, text, characters in links).
 
-    def __init__(self, page: str) -> None:
+    Elements that only their names speak against are listed in ``doubted``; those in ``out`` are taken out.
+    """
+
+    def __init__(self, page: str, out: frozenset | set = frozenset()) -> None:
+        self.doubted, self.out = [], out
         self.tags, self.parents, self.names, self.dropped = ["#"], [0], [""], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self._read(page)
@@ -155,8 +172,10 @@ class Tree:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
             names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
             bare = ATTRIBUTE.sub(lambda x: x[0] if x[1].lower() in ("style", "aria-hidden", "hidden") else " ", attributes)
-            out = bool(HIDDEN.search(bare)) or name not in ("html", "body", "h1") and bool(UNLIKELY.search(names)) and name not in HOLDERS
-            out = out or name in HOLDERS and bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", names, re.I))
+            out = bool(HIDDEN.search(bare))
+            if name not in ("html", "body") and (COMMENTS.search(names) or name not in HEADINGS and name not in HOLDERS and UNLIKELY.search(names)):
+                self.doubted.append(node)
+                out = out or node in self.out
         if name in DROPPED:
             out = not (name == "header" and self._inside(up, HOLDERS))
         self.names.append(names)
@@ -175,15 +194,44 @@ class Tree:
             yield node
 
 
+def _worth(text: str) -> float:
+    return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 if len(text) >= SHORT else 0.25)
+
+
+def _unwanted(tree: Tree) -> set[int]:
+    """The doubted elements that go: those that hold no article or main and at most half of the points of the page's paragraphs.
+
+    Readers' comments, which may be longer than the article, stay only if there is nothing else.
+    """
+    n = len(tree.tags)
+    doubted = set(tree.doubted)
+    points, holds = [0.0] * n, [False] * n
+    blocks = [x for x in tree.blocks if tree.tags[x[0]] in PARAGRAPHS] or tree.blocks  # an advert's bare text is no paragraph
+    for node, text, links in blocks:
+        points[node] += _worth(text) * (1 - min(1.0, links / len(text)))
+    for i in range(n - 1, 0, -1):  # what an element holds comes after it
+        up = tree.parents[i]
+        points[up] += points[i]
+        holds[up] = holds[up] or holds[i] or tree.tags[i] in HOLDERS and i not in doubted and not tree.dropped[i]
+    out = set()
+    for i in tree.doubted:
+        most = points[0] * (1 - 1e-9) if COMMENTS.search(tree.names[i]) else points[0] / 2
+        if not holds[i] and (points[i] <= most or not points[i]):
+            out.add(i)
+    return out
+
+
 def main_text(page: str) -> str:
     """The article of a page, one line per block; empty if the page has none."""
     tree = Tree(page)
+    if tree.doubted and (out := _unwanted(tree)):
+        tree = Tree(page, out)
     if not tree.blocks:
         return ""
     n = len(tree.tags)
     points, length, linked = [0.0] * n, [0] * n, [0] * n
     for node, text, links in tree.blocks:
-        worth = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 if len(text) >= SHORT else 0.25)
+        worth = _worth(text)
         base = node if tree.tags[node] in PARAGRAPHS else None
         length[node] += len(text)
         linked[node] += links

@@ -166,6 +166,24 @@ def test_main_text(page):
     assert main_text(page) == PAGES[page]
 
 
+BODY = "<p>One, two, three, four, five, six words of text</p><p>And more of it, to the end of the page, as it was</p>"
+TEXT = "One, two, three, four, five, six words of text\nAnd more of it, to the end of the page, as it was"
+NAMED = {
+    f"<body><div class='has-sidebar'>{BODY}<div class='sidebar'>aside, not this</div></div></body>": TEXT,
+    f"<body><div id='page' class='layout-with-sidebar'><article>{BODY}</article></div></body>": TEXT,
+    f"<body><div class='sidebar'>a menu</div><div class='widget'>{BODY}</div></body>": TEXT,
+    f"<body><div class='side'><main>{BODY}</main></div><div class='ad-banner left'>buy, buy, buy this now and again</div></body>": TEXT,
+    f"<article><div class='post-header'><h1>T</h1></div><h2 class='section-header'>S</h2>{BODY}<section class='related-work'><p>Others, too, wrote of this at length.</p></section></article>": f"T\nS\n{TEXT}\nOthers, too, wrote of this at length.",
+    "<div class='ad'>Buy this, that, and more of it, now, and again, and again.</div><article><h1>Short</h1><p>Hm.</article>": "Short\nHm.",
+    f"<body><div>{BODY}</div><div id='comments'><article class='comment'><p>{'So, so, so long a comment. ' * 40}</p></article></div></body>": TEXT,
+}
+
+
+@pytest.mark.parametrize("page", NAMED, ids=range(len(NAMED)))
+def test_names_alone_take_out_no_article(page):
+    assert main_text(page) == NAMED[page]
+
+
 def test_extract_main_text(spark):
     rows = [(i, f"http://x/{i}", p, "t") for i, p in enumerate(PAGES)] + [(None, None, None, "t"), (0, "http://x/0", next(iter(PAGES)), "t")]
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3)).collect()
