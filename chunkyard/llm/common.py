@@ -75,3 +75,52 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(_MIX[1])
     return x ^ (x >> np.uint64(31))
+
+
+#: White space between words: space, tab, line feed, vertical tab, form feed, carriage return.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+#: Powers of an odd number and of its inverse modulo 2**64, for hashes of words by position.
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of the multiplier, and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        both = []
+        for base in (0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)):
+            x = np.full(max(n, 5 << 20), base, np.uint64)
+            x[0] = 1
+            both.append(np.multiply.accumulate(x))
+        _POWERS[:] = both
+    return _POWERS
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all words of some texts, each text's first word, and its number of words; null counts as empty."""
+    texts = pa.compute.fill_null(texts, "").cast(pa.large_string())
+    offsets, data = texts.buffers()[1:]
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    ink = ~_SPACE[raw]
+    begins, ends = ink.copy(), ink.copy()
+    begins[1:] &= ~ink[:-1]
+    ends[:-1] &= ~ink[1:]
+    begins[at[:-1][at[:-1] < len(raw)]] |= ink[at[:-1][at[:-1] < len(raw)]]  # words end with their document
+    ends[at[1:][at[1:] > 0] - 1] |= ink[at[1:][at[1:] > 0] - 1]
+    begin, end = np.nonzero(begins)[0], np.nonzero(ends)[0] + 1
+    power, inverse = _powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
+    bounds = np.searchsorted(begin, at)
+    return mixed((sums[end] - sums[begin]) * inverse[begin]), bounds[:-1], np.diff(bounds)
+
+
+def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` words, from the words' hashes."""
+    out = np.zeros(max(0, len(hashes) - k + 1), np.uint64)
+    for j in range(k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + len(out)]
+    return out

@@ -12,10 +12,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkyard.llm.common import mixed, slices, texts_of, written
+from chunkyard.llm.common import hashed_words, mixed, rolled, slices, texts_of, written
 from chunkyard.llm.components import components
 
 SEED = 42
@@ -27,24 +27,22 @@ BLOCKS = 6
 PAIRWISE = 2048
 
 
-#: Copies that share at least four fifths of their five-word shingles differ in more bits than the contract's three:
-#: the stage links at five bits of any of its fingerprints, and its keys join three of eight blocks. Every further
-#: fingerprint finds more and shuffles 56 keys a text more; the pipeline asks for more than this default.
-NEAR_DISTANCE, NEAR_BLOCKS, NEAR_PRINTS = 5, 8, 2
+#: Texts that share four fifths of their five-word shingles differ in 15 % of the bits of fingerprints of those shingles, too many
+#: for blocks to find them. So candidates are found by fingerprints of two-word shingles, of which such texts differ in at
+#: most 10 % where their differences are scattered: each of the six is cut into five blocks, and two are a key (60 keys of 25 bits).
+SEARCH_SHINGLE, SEARCH_PRINTS, SEARCH_BLOCKS, SEARCH_SHARED = 2, 6, 5, 2
+#: Candidates are verified by a fingerprint of 256 bits of their five-word shingles: at a similarity of 0.8 they differ in 39 bits on
+#: average with a deviation of 6; texts of a similarity below 0.6 differ in 59 or more on average.
+NEAR_SHINGLE, NEAR_WORDS, NEAR_DISTANCE = 5, 4, 48
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = SEED) -> int:
     """The SimHash of a text: ASCII-lower-cased words between white space, shingles with repeats, XXH64, majority of bits."""
-    return _prints(text, shingle, seed, 1)[0]
-
-
-def _prints(text: str, shingle: int, seed: int, n_prints: int) -> list[int]:
-    """``n_prints`` SimHashes: the first of the shingles' hashes, each further one of the hashes scrambled once more."""
     import xxhash
 
     words = text.encode().lower().split()
     if not words:
-        return [0] * n_prints
+        return 0
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -52,15 +50,43 @@ def _prints(text: str, shingle: int, seed: int, n_prints: int) -> list[int]:
     n = len(words) - k + 1
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n)
-    found = []
-    for _ in range(n_prints):
-        counts = np.zeros(64, np.int64)
-        for i in range(0, n, 1 << 16):
-            bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts += bits.sum(axis=0, dtype=np.int64)
-        found.append(int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0]))
-        hashes = mixed(hashes + np.uint64(0x9E3779B97F4A7C15))
-    return found
+    return int(_majority(hashes, np.zeros(1, np.int64))[0])
+
+
+#: Byte j of entry i is bit j of i: adding entries counts eight bits at once, up to 255 times.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def _majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each run of hashes that starts at one of ``first``, the bits set in over half of them."""
+    cuts = np.unique(np.concatenate((first, np.arange(0, len(hashes), 255))))
+    ends = np.append(cuts[1:], len(hashes))
+    sums = np.empty((len(cuts), 8), np.uint64)
+    for i in range(0, len(cuts), 1024):
+        low, high = cuts[i], ends[min(i + 1024, len(cuts)) - 1]
+        spread = _SPREAD[hashes[low:high].view(np.uint8).reshape(-1, 8)]
+        sums[i : i + 1024] = np.add.reduceat(spread, cuts[i : i + 1024] - low, axis=0)
+    counts = np.add.reduceat(sums.view(np.uint8).reshape(-1, 64).astype(np.int64), np.searchsorted(cuts, first), axis=0)
+    sizes = np.diff(np.append(first, len(hashes)))
+    return np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def _many_prints(words: tuple[np.ndarray, np.ndarray, np.ndarray], shingle: int, n_prints: int) -> np.ndarray:
+    """``n_prints`` SimHashes of each text, from its words' hashes; texts shorter than a shingle count as one, empty texts have zeros."""
+    hashes, starts, sizes = words
+    out = np.zeros((len(sizes), n_prints), np.uint64)
+    for k in range(1, shingle + 1):
+        texts = np.nonzero(sizes == k if k < shingle else sizes >= k)[0]
+        if not len(texts):
+            continue
+        own = sizes[texts] - k + 1
+        first = np.cumsum(own) - own
+        at = np.arange(own.sum()) + np.repeat(starts[texts] - first, own)
+        shingles = mixed(rolled(hashes, k))[at]
+        for i in range(n_prints):
+            out[texts, i] = _majority(shingles, first)
+            shingles = mixed(shingles + np.uint64(0x9E3779B97F4A7C15))
+    return out
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -83,11 +109,42 @@ def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Of rows sorted by their first ``keys`` columns: arrays of whole groups, where groups of two or more rows start, and where they end."""
+    parts: list[list[np.ndarray]] = []
+
+    def out():
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        new = np.zeros(max(0, len(columns[0]) - 1), bool)
+        for c in columns[:keys]:
+            new |= c[1:] != c[:-1]
+        starts = np.concatenate(([0], np.nonzero(new)[0] + 1))
+        ends = np.append(starts[1:], len(columns[0]))
+        several = ends - starts > 1
+        return columns, starts[several], ends[several]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        open_group = np.ones(len(new[0]), bool)  # rows of the group that the batch ends in
+        for c in new[:keys]:
+            open_group &= c == c[-1]
+        rest = int(np.argmax(open_group))
+        if rest or parts and any(parts[-1][j][-1] != new[j][0] for j in range(keys)):
+            parts.append([c[:rest] for c in new])
+            yield out()
+            parts = []
+        parts.append([c[rest:] for c in new])
+    if parts:
+        yield out()
+
+
 def _least_linked(fps: np.ndarray, free: int, distance: int) -> np.ndarray:
     """For sorted distinct fingerprints that agree outside the bits ``free``: the smallest index each one reaches."""
     n = len(fps)
     if n > PAIRWISE and distance > DISTANCE:
-        return _reached(fps, distance)
+        return _reached(fps[:, None], distance)
     if n <= PAIRWISE:
         near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= distance
         a, b = np.nonzero(near)
@@ -108,81 +165,79 @@ def _least_linked(fps: np.ndarray, free: int, distance: int) -> np.ndarray:
     return labels
 
 
-def _reached(fps: np.ndarray, distance: int) -> np.ndarray:
-    """As :func:`_least_linked`, by search: each fingerprint takes all it links to out of those not reached, so groups of copies soon run empty."""
-    labels = np.full(len(fps), -1)
-    left = np.arange(len(fps))
+def _reached(prints: np.ndarray, distance: int) -> np.ndarray:
+    """For rows of 64-bit words: the smallest row that each reaches. Each takes all it links to out of those not reached, so groups of copies soon run empty."""
+    labels = np.full(len(prints), -1)
+    left = np.arange(len(prints))
     while len(left):
         root, todo = left[0], [left[0]]
         left = left[1:]
         labels[root] = root
         while todo and len(left):
-            near = np.bitwise_count(fps[left] ^ fps[todo.pop()]) <= distance
+            near = np.bitwise_count(prints[left] ^ prints[todo.pop()]).sum(axis=1, dtype=np.int64) <= distance
             new, left = left[near], left[~near]
             labels[new] = root
             todo += new.tolist()
     return labels
 
 
+def _pairs(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
+    u, v = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (us, vs))
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
+def _keys(print_: Column, number: int, masks: list[int]) -> list[Column]:
+    """The keys of a fingerprint: (t, k), t telling fingerprints and choices of blocks apart."""
+    return [F.struct(F.lit(number * len(masks) + i).alias("t"), print_.bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)]
+
+
 def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """(u, v) links that join exactly the distinct values of ``fp`` that chains of at most ``distance`` bits join.
 
     Under each key a fingerprint links to the smallest one that it reaches there, so links grow with fingerprints and
-    not with pairs. With a column ``node``, links are between the nodes that fingerprints stand for.
+    not with pairs.
     """
-    name = "node" if "node" in fps.columns else "fp"
     masks = block_masks(blocks, distance)
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)]))
-    spread = fps.select("fp", *([name] if name != "fp" else []), keys.alias("key")).select("key.t", "key.k", "fp", *([name] if name != "fp" else []))
-
-    def links(t: np.ndarray, k: np.ndarray, fp: np.ndarray, *node: np.ndarray, last: bool):
-        cuts = np.nonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1]))[0] + 1
-        starts = np.concatenate(([0], cuts))
-        ends = np.concatenate((cuts, [len(t)]))
-        whole = slice(None) if last else slice(0, -1)
-        us, vs = [], []
-        sizes = (ends - starts)[whole]
-        for i in np.nonzero(sizes > 1)[0]:
-            group, named = fp[starts[i] : ends[i]].view(np.uint64), None
-            if node:  # equal fingerprints of different nodes are one here, and link their nodes
-                named = node[0][starts[i] : ends[i]].view(np.uint64)
-                order = np.lexsort((named, group))
-                group, named = group[order], named[order]
-                fresh = np.concatenate(([True], group[1:] != group[:-1]))
-                lead = named[fresh][np.cumsum(fresh) - 1]
-                us.append(named[lead != named])
-                vs.append(lead[lead != named])
-                group, named = group[fresh], named[fresh]
-            else:
-                group = named = np.sort(group)
-            least = _least_linked(group, ~masks[t[starts[i]]] & (1 << 64) - 1, distance)
-            moved = np.nonzero(least != np.arange(len(group)))[0]
-            us.append(named[moved])
-            vs.append(named[least[moved]])
-        return us, vs, 0 if last else starts[-1]
+    spread = fps.select("fp", F.explode(F.array(*_keys(F.col("fp"), 0, masks))).alias("key")).select("key.t", "key.k", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def out(us, vs):
-            u, v = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (us, vs))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-        for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            if len(held[0]):
-                us, vs, rest = links(*held, last=False)
-                held = [x[rest:] for x in held]
-                yield out(us, vs)
-        if held is not None and len(held[0]):
-            us, vs, _ = links(*held, last=True)
-            yield out(us, vs)
+        for (t, _, fp), starts, ends in _whole_groups(batches, 2):
+            us, vs = [], []
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                group = np.sort(fp[a:b].view(np.uint64))
+                least = _least_linked(group, ~masks[t[a]] & (1 << 64) - 1, distance)
+                moved = np.nonzero(least != np.arange(len(group)))[0]
+                us.append(group[moved])
+                vs.append(group[least[moved]])
+            yield _pairs(us, vs)
 
     dealt = spread.repartition("t", "k").sortWithinPartitions("t", "k")
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def _verified_links(held: DataFrame, which: range) -> DataFrame:
+    """(u, v) links of ``node`` by the search fingerprints ``which``: rows that meet under a key link if their 256-bit fingerprints are close."""
+    masks = block_masks(SEARCH_BLOCKS, SEARCH_BLOCKS - SEARCH_SHARED)
+    keys = F.explode(F.array(*[k for i in which for k in _keys(F.col("prints")[i], i, masks)]))
+    spread = held.select(keys.alias("key"), "node", *[F.col("check")[j].alias(f"c{j}") for j in range(NEAR_WORDS)]).select("key.t", "key.k", "node", *[f"c{j}" for j in range(NEAR_WORDS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, node, *words), starts, ends in _whole_groups(batches, 2):
+            us, vs = [], []
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                own = node[a:b]
+                if (own == own[0]).all():
+                    continue
+                order = np.argsort(own, kind="stable")
+                least = _reached(np.column_stack([w[a:b] for w in words])[order].view(np.uint64), NEAR_DISTANCE)
+                u, v = own[order], own[order][least]
+                us.append(u[u != v])
+                vs.append(v[u != v])
+            yield _pairs(us, vs)
+
+    return spread.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(run, "u long, v long")
+
+
 def near_groups(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = DISTANCE, blocks: int = BLOCKS
 ) -> DataFrame:
@@ -203,45 +258,40 @@ def near_groups(
     return rows.join(labels, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _starred(links: DataFrame) -> DataFrame:
-    """Links of single fingerprints with each one's roots joined to the smallest: the same components from fewer links.
-
-    A fingerprint has one root under each key, so the lists are as short as the keys are few.
-    """
-    stars = links.groupBy("u").agg(F.collect_set("v").alias("vs")).select(F.array_union("vs", F.array("u")).alias("all"))
-    return stars.select(F.explode("all").alias("u"), F.array_min("all").alias("v")).where("u <> v").distinct()
-
-
-def near_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = NEAR_DISTANCE, blocks: int = NEAR_BLOCKS, n_prints: int = NEAR_PRINTS
-) -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, one of each group of near copies, with all their columns.
 
-    Each text has ``n_prints`` independent fingerprints; texts link if they differ in at most ``distance`` bits of any, and
-    groups are the components of links. That covers the links of :func:`near_groups` at its defaults, and finds most pairs that
-    share four fifths of their five-word shingles (README). The smallest id stays, null ids last, then an arbitrary but fixed
-    one. Rows repeated with id and text stay or go together. Texts shuffle only if the rows to drop are too many to be
-    sent to every task.
+    Near copies are texts whose ASCII-lower-cased words share four fifths or more of their five-word shingles, as SimHash tells:
+    texts that agree in two of five blocks of any of :data:`SEARCH_PRINTS` fingerprints link if they differ in at most
+    :data:`NEAR_DISTANCE` of 256 bits, and groups are the components of links. It is an estimate: what it finds at each
+    similarity is measured in the README and held by a test. The smallest id stays, null ids last, then an arbitrary but
+    fixed one. Null and empty texts are copies of each other; texts of fewer than five words are near copies only of the
+    same words. Whole texts count, however long. Rows repeated with id and text stay or go together. No rows in, no rows out.
+    Texts shuffle only if the rows to drop are too many to be sent to every task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            prints = np.array([_prints(t, shingle, SEED, n_prints) for t in texts_of(batch.column(1))], dtype=np.uint64).view(np.int64)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(prints.reshape(-1)), n_prints).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["who", "prints"])
-
-    mark = F.xxhash64(F.col(id_col), F.col(text_col))
+        for batch in slices(batches, 1, 4 << 20):
+            words = hashed_words(pa.compute.ascii_lower(batch.column(1)))
+            lists = []
+            for shingle, n in ((SEARCH_SHINGLE, SEARCH_PRINTS), (NEAR_SHINGLE, NEAR_WORDS)):
+                prints = _many_prints(words, shingle, n).view(np.int64)
+                lists.append(pa.FixedSizeListArray.from_arrays(pa.array(prints.reshape(-1)), n).cast(pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["who", "prints", "check"])
+
+    mark = F.xxhash64(F.col(text_col))
     who = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), mark.alias("mark"))
     kind = df.select(who.alias("who")).schema["who"].dataType.simpleString()
-    rows = written(df.select(who.alias("who"), F.col(text_col).alias("text")).mapInArrow(run, f"who {kind}, prints array<long>"), "fingerprints")
-    held = rows.withColumn("node", F.col("prints")[0])
-    for i in range(n_prints):  # what one fingerprint joins is one node to the next, so a large group is linked once
-        fps = held.select(F.col("prints")[i].alias("fp"), "node").distinct()
-        links = close_links(fps, distance, blocks) if i else _starred(close_links(fps.select("fp"), distance, blocks))
-        roots = written(components(links), "roots")
+    rows = written(df.select(who.alias("who"), F.col(text_col).alias("text")).mapInArrow(run, f"who {kind}, prints array<long>, check array<long>"), "fingerprints")
+    classes = rows.groupBy("prints", "check").agg(F.min("who").alias("stays"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers are fixed once they are written
+    held = classes.select("prints", "check", "stays", "node")
+    for which in (range(1), range(1, SEARCH_PRINTS)):  # what the first joins is one node to the rest, so a large group is linked once
+        roots = written(components(_verified_links(held, which)), "roots")
         moved = held.join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
-        held = written(moved.select("who", "prints", F.coalesce("root", "node").alias("node")), "nodes")
-    named = written(held.groupBy("node").agg(F.min("who").alias("stays")).select("node", F.col("stays.mark").alias("stays")), "labels")
-    dropped = held.select("who.mark", "node").join(named, "node").where("mark <> stays").select("mark").distinct()
-    dropped = written(dropped, "dropped")
-    return df.join(dropped, mark == dropped.mark, "left_anti")
+        held = written(moved.select("prints", "check", "stays", F.coalesce("root", "node").alias("node")), "nodes")
+    named = held.groupBy("node").agg(F.min("stays").alias("kept"))
+    of_print = held.join(named, "node").select("prints", "check", "kept")
+    told = rows.join(of_print, ["prints", "check"]).where("NOT (who <=> kept)")
+    dropped = written(told.select("who.id", "who.mark").distinct(), "dropped")
+    return df.join(dropped, F.col(id_col).eqNullSafe(dropped.id) & (mark == dropped.mark), "left_anti")

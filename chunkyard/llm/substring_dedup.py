@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkyard.llm.common import mixed, slices, texts_of, written
+from chunkyard.llm.common import hashed_words, mixed, rolled, slices, texts_of, written
 
 #: Words of a window and of a phrase. W - K + 1 is a power of two: windows find their phrase by doubling.
 W, K = 20, 5
@@ -28,65 +28,27 @@ SHARD_BYTES = 4 << 20
 #: many rows a phrase are never common. There are at most 1 / COMMON_SHARE common phrases.
 COMMON_SHARE, COMMON_ROWS, PARTS = 1e-4, 1000, 64
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
 
 
-#: Powers of an odd number and of its inverse modulo 2**64, for hashes of words by position.
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """At least ``n`` powers of the multiplier, and of its inverse."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        both = []
-        for base in (0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)):
-            x = np.full(max(n, SHARD_BYTES + (1 << 16)), base, np.uint64)
-            x[0] = 1
-            both.append(np.multiply.accumulate(x))
-        _POWERS[:] = both
-    return _POWERS
-
-
 def words_of(text: str) -> list[bytes]:
     """The words between white space (space, tab, line feed, vertical tab, form feed, carriage return), in UTF-8."""
     return text.encode().split()
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-
 class Shard:
     """The words of some documents in one array, the phrases at each word, and the phrase that each window picks."""
 
     def __init__(self, texts: pa.Array) -> None:
-        texts = pa.compute.fill_null(texts, "").cast(pa.large_string())
-        offsets, data = texts.buffers()[1:]
-        at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        raw = np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
-        at = at - at[0]
-        ink = ~_SPACE[raw]
-        begins, ends = ink.copy(), ink.copy()
-        begins[1:] &= ~ink[:-1]
-        ends[:-1] &= ~ink[1:]
-        begins[at[:-1][at[:-1] < len(raw)]] |= ink[at[:-1][at[:-1] < len(raw)]]  # words end with their document
-        ends[at[1:][at[1:] > 0] - 1] |= ink[at[1:][at[1:] > 0] - 1]
-        begin, end = np.nonzero(begins)[0], np.nonzero(ends)[0] + 1
-        power, inverse = _powers(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
-        self.hashes = mixed((sums[end] - sums[begin]) * inverse[begin])
-        bounds = np.searchsorted(begin, at)
-        self.starts, self.sizes = bounds[:-1], np.diff(bounds)
+        self.hashes, self.starts, self.sizes = hashed_words(texts)
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
-        n = len(begin) - W + 1
+        n = len(self.hashes) - W + 1
         self.windows = np.zeros(0, np.int64)
         self.picked = self.windows
         self.phrases = np.zeros(0, np.uint64)
         if n <= 0:
             return
-        self.phrases = mixed(self._rolled(K))
+        self.phrases = mixed(rolled(self.hashes, K))
         least, at, width = self.phrases, np.arange(len(self.phrases)), 1
         while width < W - K + 1:
             a, b = least[:-width], least[width:]
@@ -97,16 +59,9 @@ class Shard:
         self.windows = np.nonzero(inside)[0]
         self.picked = at[:n][inside]
 
-    def _rolled(self, k: int) -> np.ndarray:
-        n = len(self.hashes) - k + 1
-        out = np.zeros(n, np.uint64)
-        for j in range(k):
-            out = out * _BASE + self.hashes[j : j + n]
-        return out
-
     def digests(self, windows: np.ndarray) -> np.ndarray:
         """A 64-bit digest of each window, independent of the phrases' hashes."""
-        return mixed(self._rolled(W) ^ np.uint64(0xA5A5A5A5A5A5A5A5))[windows]
+        return mixed(rolled(self.hashes, W) ^ np.uint64(0xA5A5A5A5A5A5A5A5))[windows]
 
     def located(self, wanted: np.ndarray) -> np.ndarray:
         """For every word, whether a phrase with its hash in ``wanted`` starts there: found by an automaton over words.
