@@ -15,9 +15,6 @@ from chunkyard.llm.packing import pack_documents
 from chunkyard.llm.registry import mixed_documents
 from chunkyard.llm.simhash import near_dedup
 
-#: Fingerprints of the third stage: two leave about half of the pairs that share four fifths of their shingles apart (README).
-NEAR_PRINTS = 4
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain enough; texts without letters go."""
@@ -30,8 +27,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five differing bits or fewer in any of four SimHash fingerprints."""
-    return near_dedup(docs, n_prints=NEAR_PRINTS).select(docs.columns)
+    """One document of each group of texts that share four fifths of their five-word shingles, as SimHash fingerprints tell."""
+    return near_dedup(docs).select(docs.columns)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
