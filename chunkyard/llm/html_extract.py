@@ -2,7 +2,8 @@
 
 Paragraphs pass points for their length and commas to the elements that contain them, full to the parent and less to
 those above; an element's points are discounted by the share of its text that lies in links. The best container and
-those of its siblings that look like it are kept; menus, forms, adverts and the like are taken out of the tree before.
+those of its siblings that look like it are kept, an article or main element as a whole; menus, forms, adverts and the
+like are taken out of the tree before.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-DROPPED = frozenset("nav header footer aside form script style noscript template iframe object embed svg canvas button select option textarea input head title menu dialog map audio video math".split())
+DROPPED = frozenset("nav header footer aside script style noscript template iframe object embed svg canvas button select option textarea input head title menu dialog map audio video".split())
 PARAGRAPHS = frozenset("p pre blockquote td th li dd dt h1 h2 h3 h4 h5 h6 figcaption caption".split())
 HOLDERS = frozenset(("article", "main"))
 #: Start tags that end an open element of the named kinds.
@@ -32,29 +33,34 @@ ENDS_OPEN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 FENCES = frozenset("ul ol dl table body html article section div main aside blockquote".split())
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_WORDS = (
-    r"(?:ad|ads|advert\w*|adbox|banner|breadcrumbs?|disqus|respond|replies|community|cookies?|consent|gdpr|notice|alert|promo\w*|sponsor\w*|"
-    r"sidebar|side|rail|nav\w*|menu|toolbar|header|masthead|footer|foot|copyright|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|login|"
-    r"popup|modal|overlay|widget|pagination|pager|search|skip|tags?|print|hidden|contentinfo|complementary|navigation|dialog|comments?|commentlist)"
+# Words of class, id or role that name parts of a page. The first are never part of an article; the others
+# may be, so within article and main they say nothing.
+_STRONG = (
+    r"(?:ad|ads|advert\w*|adbox|sponsor\w*|promo\w*|disqus|respond|replies|comments?|commentlist|cookies?|consent|gdpr|sidebar|nav\w*|navigation|menu|toolbar|breadcrumbs?|"
+    r"share|sharing|social|subscribe|newsletter|signup|login|pagination|pager|contentinfo|complementary|dialog|popup|modal)"
 )
-#: Names in class, id or role that mark what is not the article: a whole name of such words, or one of the site's own parts.
+_WEAK = r"(?:banner|community|notice|alert|side|rail|header|masthead|footer|foot|copyright|related|recommend\w*|overlay|widget|search|skip|tags?|print|hidden)"
+
+
+def _named(word: str) -> str:
+    """A whole name of such words, numbered or placed."""
+    return rf"{word}(?:[_-]{word})*(?:[_-](?:\d+|left|right|top|bottom|area|box|slot|list|links?|buttons?|bar))?"
+
+
+#: Names that mark what is not the article: within article and main, and elsewhere, where the site's own parts count too.
+UNLIKELY_INSIDE = re.compile(rf"(?:^|\s)(?:{_named(_STRONG)})(?:$|\s)", re.I)
 UNLIKELY = re.compile(
-    rf"(?:^|\s)(?:{_WORDS}(?:[_-]{_WORDS})*(?:[_-](?:\d+|left|right|top|bottom|area|box|slot|list|links?|buttons?|bar))?|"
+    rf"(?:^|\s)(?:{_named(f'(?:{_STRONG}|{_WEAK})')}|"
     r"(?:site|global|main|top|left|right|mobile|primary|secondary)[_-](?:sidebar|nav\w*|menu|toolbar|masthead|footer|banner|ads?|header)|page[_-]footer)(?:$|\s)",
     re.I,
 )
 #: Names of readers' comments, which may be longer than the article.
 COMMENTS = re.compile(r"(?:^|\s)(?:comments?(?:[_-](?:\d+|area|box|list|body|content|section))?|commentlist|disqus|respond|replies)(?:$|\s)", re.I)
-LIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|breadcrumbs?|comments?|commentlist|disqus|respond|replies|community|cookies?|consent|gdpr|notice|alert|promo\w*|sponsor\w*|"
-    r"sidebar|side|rail|nav\w*|menu|toolbar|header|masthead|footer|foot|copyright|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|login|"
-    r"popup|modal|overlay|widget|pagination|pager|search|skip|tags?|print|hidden|contentinfo|complementary|navigation|dialog)(?:$|[\s_-])",
-    re.I,
-)
 LIKELY = re.compile(r"article|body|content|entry|main|post|story|text", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-TOKEN = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)>)", re.S)
+#: A comment, declaration or tag. A quote counts after "=" only; what isn't closed ends with the page.
+TOKEN = re.compile(r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*>?|/(?:[^a-zA-Z>][^>]*)?>|(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>?)", re.S)
 
 SHORT = 25
 MENU_LINKS = 2 / 3
@@ -68,7 +74,7 @@ class Tree:
 
     def __init__(self, page: str, out: frozenset | set = frozenset()) -> None:
         self.doubted, self.out = [], out
-        self.tags, self.parents, self.names, self.dropped = ["#"], [0], [""], [False]
+        self.tags, self.parents, self.names, self.dropped, self.inside = ["#"], [0], [""], [False], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self._read(page)
 
@@ -109,11 +115,8 @@ class Tree:
                 end_block()
             del stack[position:]
 
-        skip_to = 0
-        for m in TOKEN.finditer(page):
-            if m.start() < skip_to:
-                continue
-            add(page[max(at, skip_to) : m.start()])
+        while m := TOKEN.search(page, at):  # from where the last token or raw element ended
+            add(page[at : m.start()])
             at = m.end()
             if not (name := m[2]):
                 continue
@@ -152,7 +155,7 @@ class Tree:
                 end_block()
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
-                skip_to = at = len(page) if end is None else page.find(">", end.start()) + 1 or len(page)
+                at = len(page) if end is None else page.find(">", end.start()) + 1 or len(page)
                 continue
             if name in VOID or m[3].endswith("/") and name in ("svg", "path"):
                 continue
@@ -161,32 +164,29 @@ class Tree:
             stack.append(node := len(tags) - 1)
             links += name == "a"
             self._judge(node, name, m[3])
-        add(page[max(at, skip_to) :])
+        add(page[at:])
         end_block()
 
     def _judge(self, node: int, name: str, attributes: str) -> None:
         """Whether an element and all in it are taken out."""
         up = self.parents[node]
-        names, out = "", False
+        names, out, inside = "", False, self.inside[up]
+        doubted = name == "form"  # may hold the whole page
         if attributes.strip():
-            found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
+            found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in reversed(list(ATTRIBUTE.finditer(attributes)))}
             names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
             bare = ATTRIBUTE.sub(lambda x: x[0] if x[1].lower() in ("style", "aria-hidden", "hidden") else " ", attributes)
             out = bool(HIDDEN.search(bare))
-            if name not in ("html", "body") and (COMMENTS.search(names) or name not in HEADINGS and name not in HOLDERS and UNLIKELY.search(names)):
-                self.doubted.append(node)
-                out = out or node in self.out
+            unlikely = UNLIKELY_INSIDE if inside else UNLIKELY
+            doubted = doubted or name not in ("html", "body") and bool(COMMENTS.search(names) or name not in HEADINGS and name not in HOLDERS and unlikely.search(names))
+        if doubted:
+            self.doubted.append(node)
+            out = out or node in self.out
         if name in DROPPED:
-            out = not (name == "header" and self._inside(up, HOLDERS))
+            out = not (name == "header" and inside)
         self.names.append(names)
         self.dropped.append(out or self.dropped[up])
-
-    def _inside(self, node: int, kinds: frozenset) -> bool:
-        while node:
-            if self.tags[node] in kinds:
-                return True
-            node = self.parents[node]
-        return False
+        self.inside.append(inside or name in HOLDERS)
 
     def above(self, node: int) -> Iterator[int]:
         while node:
@@ -247,30 +247,33 @@ def main_text(page: str) -> str:
     best = max(candidates, key=lambda i: (scores[i], -i), default=0)
     if not best:
         best = next((i for i in range(n) if tree.tags[i] == "body"), 0)
-    for up in tree.above(best):
-        if tree.tags[up] in HOLDERS:
-            best = up
+    own = [best, *tree.above(best)]
+    best = next((x for kind in ("article", "main") for x in reversed(own) if tree.tags[x] == kind), best)  # the outermost
     kept = {best}
     if best and tree.tags[best] not in ("body", "html"):
         least = max(2.0, scores[best] / 5)
         for i in range(1, n):
             if i != best and tree.parents[i] == tree.parents[best] and length[i]:
-                paragraph = tree.tags[i] in PARAGRAPHS and density[i] < 0.25 and (length[i] >= SHORT or tree.tags[i] in ("h1", "h2"))
-                if paragraph or scores[i] >= least and density[i] < 0.25:
+                if tree.tags[i] in PARAGRAPHS and density[i] < 0.25 or scores[i] >= least and density[i] < 0.25:
                     kept.add(i)
-    menus = {i for i in range(n) if tree.tags[i] in ("ul", "ol", "dl", "div", "table", "section") and i not in kept and density[i] > MENU_LINKS}
-    lines = []
+    menus = set()
+    if not tree.inside[best]:  # lists of links before the first and after the last paragraph are menus; between them, and in an article, they are text
+        menus = {i for i in range(n) if tree.tags[i] in ("ul", "ol", "dl", "div", "table", "section") and i not in kept and density[i] > MENU_LINKS}
+    lines, paragraphs = [], []
     for node, text, _ in tree.blocks:
         own = {node, *tree.above(node)}
-        if own & kept and not own & menus:
+        if own & kept:
+            if not own & menus:
+                paragraphs.append(len(lines))
             lines.append(text)
-    return "\n".join(lines)
+    return "\n".join(lines[paragraphs[0] : paragraphs[-1] + 1]) if paragraphs else ""
 
 
 def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``df``: id, url, text (empty if there is none) and n_chars, its code points.
 
-    Null and empty pages have no text. Broken markup is read as browsers do: paragraphs end where the next block starts,
+    Whole pages are read, however long. Null and empty pages have no text; no rows in, no rows out. Of containers with equal
+    points the first in the page is the best. Broken markup is read as browsers do: paragraphs end where the next block starts,
     unclosed elements end with what holds them. Null ids and urls are carried; repeated rows get one row each. Other
     columns are not read.
     """

@@ -1,12 +1,15 @@
 """Licence scan, packing, main-text extraction, WARC and language ID."""
 
 import hashlib
+import html.parser
 import io
+import os
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,7 +157,7 @@ PAGES = {
     "<article><h1>A</h1><p><b>Bold text here<br><p>Second, with a comma<script>var x='</p>';</script></p><aside>no</aside><div class=ad>buy</div></article><nav>n</nav>": "A\nBold text here\nSecond, with a comma",
     "": "", "just text": "just text", "<p>": "", "<!-- <p>hidden</p> --><p>shown text &lt;p&gt;</p>": "shown text <p>",
     "<body><header>Site</header><main><header><h1>Own head</h1></header><section><p>One, two, three, four, five six</p></section><section><p>Last one</p></section></main></body>": "Own head\nOne, two, three, four, five six\nLast one",
-    "<style>p{}</style><title>t</title><article><ul><li>one<li>two</ul><div><ul><li><a href=1>link one</a><li><a href=2>link two</a></ul></div><p>tail text</article>": "one\ntwo\ntail text",
+    "<style>p{}</style><title>t</title><article><ul><li>one<li>two</ul><div><ul><li><a href=1>link one</a><li><a href=2>link two</a></ul></div><p>tail text</article>": "one\ntwo\nlink one\nlink two\ntail text",
     "<article><p style='display:none'>x</p><p hidden>y</p><p>z" + " w" * 50_000 + "</p></article>": "z" + " w" * 50_000,
     "<article><p>a < b and c > d & e</p></article>": "a < b and c > d & e",
     "<div>" * 3000 + "deep, deep text" + "</div>" * 3000: "deep, deep text",
@@ -179,6 +182,75 @@ NAMED = {
 }
 
 
+RAW = {
+    "<script>if(i<n) x(); // don't stop</script><p>A</p><p>It's ..</p>": "A\nIt's ..",
+    f"<body><script><!-- old style\nvar a;</script><article>{BODY}</article></body></html>": TEXT,
+    f"<article><style>p > a {{}} /* don't */</style>{BODY}<script>a='<p>x</p>'; b=\"</scr\"+'ipt'</script><p>end</p></article>": f"{TEXT}\nend",
+    f"<article><!--><p>first</p><!-- a > b -->{BODY}</ ><p don't>last, isn't it</p><p class='x'>really</p></article>": f"first\n{TEXT}\nlast, isn't it\nreally",
+    f"<article>{BODY}<a href=\"never closed>link</a><p>tail</p></article>": f"{TEXT}\nlink\ntail",
+    "<p>a <": "a <", "<p>a <b": "a", "<p>text</p><!-- to the end <p>no</p>": "text",
+}
+WHOLE = {
+    f"<body><div>{BODY}</div><p>Short.</p></body>": f"{TEXT}\nShort.",
+    f"<body><article>{BODY}<div class='print'><p>Kept in print.</p></div><div class='story-notice'>Kept notice</div><p class='tags side'>Kept too</p></article></body>": f"{TEXT}\nKept in print.\nKept notice\nKept too",
+    f"<body><article>{BODY}<ul><li><a href=1>Source one</a><li><a href=2>Source two</a></ul><p>End.</p></article></body>": f"{TEXT}\nSource one\nSource two\nEnd.",
+    f"<body><div class='menu'><a href=1>Home</a></div><div><ul><li><a href=1>Front page</a></ul>{BODY}<ul><li><a href=1>See this</a></ul>{BODY}<ul><li><a href=2>Next page</a></ul></div></body>": f"{TEXT}\nSee this\n{TEXT}",
+    f"<body><form id='aspnet'><input><nav>n</nav><article>{BODY}<form>Search <button>go</button></form></article></form></body>": TEXT,
+    f"<main><h1>T</h1><article>{BODY}<div class='ad'>Buy</div><div class='share-buttons'>Tweet</div></article><section class='comments'><p>So, so</p></section></main>": f"T\n{TEXT}",
+}
+
+
+@pytest.mark.parametrize("page", [*RAW, *WHOLE], ids=range(len(RAW) + len(WHOLE)))
+def test_raw_elements_and_whole_articles(page):
+    assert main_text(page) == {**RAW, **WHOLE}[page]
+
+
+class Article(html.parser.HTMLParser):
+    """The text of article elements, by the library's parser: another reader of pages that mark their article."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.lines, self.now = 0, [], []
+
+    def cut(self):
+        if line := " ".join("".join(self.now).split()):
+            self.lines.append(line)
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.depth += 1
+        elif tag == "br":
+            self.now.append(" ")
+        elif tag in ("p", "h1", "li", "ul", "div"):
+            self.cut()
+
+    def handle_endtag(self, tag):
+        if tag in ("article", "p", "h1", "li", "ul", "div"):
+            self.cut()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth > 0:
+            self.now.append(data)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/pages.parquet"), reason="needs the driver's pages")
+def test_main_text_of_all_pages():
+    pages = pyarrow.parquet.read_table("/root/testdata/sf0.1/pages.parquet", columns=["html"]).column(0).to_pylist()
+    for page in pages:
+        reader = Article()
+        reader.feed(page or "")
+        reader.close()
+        reader.cut()
+        assert main_text(page or "") == "\n".join(reader.lines), page
+
+
+def test_extract_main_text_of_nothing(spark):
+    got = extract_main_text(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and got.count() == 0
+
+
 @pytest.mark.parametrize("page", NAMED, ids=range(len(NAMED)))
 def test_names_alone_take_out_no_article(page):
     assert main_text(page) == NAMED[page]
