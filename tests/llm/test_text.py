@@ -107,7 +107,6 @@ def test_pack_documents(spark):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    coder.encode_special_tokens = True
     pieces = packing.pack_documents(docs(spark, PACK)).collect()
     want = sorted(([i, [*coder.encode(t or "", add_special_tokens=False).ids, 1]] for i, t in PACK), key=str)
     by_doc, by_sequence = {}, {}
@@ -126,15 +125,40 @@ def test_pack_documents(spark):
         used = sum(p["length"] for p in own)
         assert [p["offset"] for p in own] == [0, *np.cumsum([p["length"] for p in own])[:-1].tolist()]
         assert used <= 2048 and used & (used - 1) == 0 and {p["tier"] for p in own} == {used}
+    few = packing.pack_documents(docs(spark, PACK).coalesce(1), step_tokens=4096).collect()
     groups = {}
-    for p in pieces:
-        groups[p["step_group"], p["tier"]] = groups.get((p["step_group"], p["tier"]), 0) + p["length"]
-    assert max(groups.values()) <= packing.STEP_TOKENS and len({g for g, _ in groups}) == len(groups)
+    for p in few:
+        groups[p["step_group"]] = groups.get(p["step_group"], 0) + p["length"]
+    assert len(groups) == -(-sum(groups.values()) // 4096) > 3
+    assert max(groups.values()) <= 4096 and max(groups.values()) - min(groups.values()) <= 2048
     full = sum(len(own) > 0 and sum(p["length"] for p in own) in packing.TIERS for own in by_sequence.values())
     assert full > 0.8 * len(by_sequence)
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
+def test_ids_are_those_of_the_vocabulary_file():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    coder, encode = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.byte_bpe()
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  \n", "hello", "World's", "é", "123", "\t", "日本", "\u00a0", "..", "<", "e\u0301", "\x00"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(2000)]
+    assert "<|endoftext|>" in "".join(texts)
+    for text in ["hello <|endoftext|> world", *texts]:
+        assert encode(text) == coder.encode(text, add_special_tokens=False).ids, text
+
+
+def test_step_groups_are_balanced():
+    rng = random.Random(7)
+    for _ in range(200):
+        sizes = [1 << rng.randrange(12) for _ in range(rng.randrange(1, 300))]
+        loads = [0] * (max(dealt := packing.step_groups(sizes, 8192)) + 1)
+        for s, g in zip(sizes, dealt, strict=True):
+            loads[g] += s
+        assert max(loads) <= 8192 and max(loads) - min(loads) <= max(sizes)
+
+
 def test_packer_places_every_id_once():
     rng = random.Random(4)
     for _ in range(30):
