@@ -97,9 +97,12 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The 64-bit hashes of all words of some texts, each text's first word, and its number of words; null counts as empty."""
-    texts = pa.compute.fill_null(texts, "").cast(pa.large_string())
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all words of some texts, each text's first word and its number of words, and where words begin and end in the joined bytes.
+
+    Null counts as empty; texts may be strings or bytes.
+    """
+    texts = pa.compute.fill_null(texts.cast(pa.large_binary()), b"")
     offsets, data = texts.buffers()[1:]
     at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
@@ -115,7 +118,7 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
     bounds = np.searchsorted(begin, at)
-    return mixed((sums[end] - sums[begin]) * inverse[begin]), bounds[:-1], np.diff(bounds)
+    return mixed((sums[end] - sums[begin]) * inverse[begin]), bounds[:-1], np.diff(bounds), begin, end
 
 
 def rolled(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -71,9 +71,9 @@ def _majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def _many_prints(words: tuple[np.ndarray, np.ndarray, np.ndarray], shingle: int, n_prints: int) -> np.ndarray:
+def _many_prints(words: tuple[np.ndarray, ...], shingle: int, n_prints: int) -> np.ndarray:
     """``n_prints`` SimHashes of each text, from its words' hashes; texts shorter than a shingle count as one, empty texts have zeros."""
-    hashes, starts, sizes = words
+    hashes, starts, sizes, *_ = words
     out = np.zeros((len(sizes), n_prints), np.uint64)
     for k in range(1, shingle + 1):
         texts = np.nonzero(sizes == k if k < shingle else sizes >= k)[0]

@@ -1,10 +1,11 @@
 """Removal of passages that occur before, by repeated-phrase automata.
 
 Every window of W words has one phrase of K words that its content alone picks (the one with the smallest hash), so two
-equal windows pick equal phrases. Documents first state the phrases that their windows pick; those stated more than
-once are confirmed as recurring. Documents then stream, a shard of some megabytes at a time, through an Aho-Corasick
-automaton of the recurring phrases that concern the shard, which locates every occurrence; the windows around them are compared, first
-within the shard and then, by phrase, across all shards. What starts a second time is removed.
+equal windows pick equal phrases. Documents first state the phrases that their windows pick, word by word; those stated
+more than once are confirmed as recurring. Confirmed phrases are sharded with the documents that state them: for each
+shard of some megabytes an Aho-Corasick automaton is compiled from its phrases, and the shard's documents stream through
+it, which locates every occurrence. The windows around them are compared, first within the shard and then, by phrase,
+across all shards. What starts a second time is removed.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ W, K = 20, 5
 #: Text of a shard: what one automaton is compiled for.
 SHARD_BYTES = 4 << 20
 
-#: A phrase with more than this share of all rows is common: its windows are compared in PARTS parts, by digest. So
-#: many rows a phrase are never common. There are at most 1 / COMMON_SHARE common phrases.
-COMMON_SHARE, COMMON_ROWS, PARTS = 1e-4, 1000, 64
+#: A phrase that more rows hold than this is common: its windows are compared in parts, by digest, so that no task
+#: holds more than about the windows of so many rows for one phrase.
+COMMON_ROWS = 20_000
 
 _LAST = np.iinfo(np.int64).max
 
@@ -37,10 +38,17 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Shard:
-    """The words of some documents in one array, the phrases at each word, and the phrase that each window picks."""
+    """The words of some documents on one line, the phrases at each word, and the phrase that each window picks.
 
-    def __init__(self, texts: pa.Array) -> None:
-        self.hashes, self.starts, self.sizes = hashed_words(texts)
+    On the line every word stands between spaces, and documents end with a line feed.
+    """
+
+    def __init__(self, texts: list[str]) -> None:
+        own = [b" ".join(words_of(t)) for t in texts]
+        self.shas = [hashlib.sha256(x).hexdigest() for x in own]
+        own = [b" %b \n" % x for x in own]
+        self.line = b"".join(own)
+        self.hashes, self.starts, self.sizes, self.begin, self.end = hashed_words(pa.array(own, pa.large_binary()))
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
         n = len(self.hashes) - W + 1
         self.windows = np.zeros(0, np.int64)
@@ -63,28 +71,23 @@ class Shard:
         """A 64-bit digest of each window, independent of the phrases' hashes."""
         return mixed(rolled(self.hashes, W) ^ np.uint64(0xA5A5A5A5A5A5A5A5))[windows]
 
-    def located(self, wanted: np.ndarray) -> np.ndarray:
-        """For every word, whether a phrase with its hash in ``wanted`` starts there: found by an automaton over words.
+    def spelt(self, places: np.ndarray) -> list[bytes]:
+        """The words of the phrases at some words, between single spaces."""
+        return [self.line[a:b] for a, b in zip(self.begin[places].tolist(), self.end[places + K - 1].tolist(), strict=True)]
 
-        A word is spelt by its number among the shard's words, in three letters from three alphabets: nodes of the
-        automaton keep few children, and phrases match at words only.
-        """
+    def located(self, phrases: list[bytes]) -> np.ndarray:
+        """For every word, whether one of ``phrases`` starts there: an automaton of the phrases' bytes reads the line once."""
         import ahocorasick
 
         found = np.zeros(len(self.hashes), bool)
-        sure = np.nonzero(np.isin(self.phrases, wanted))[0]
-        sure = sure[np.unique(self.phrases[sure], return_index=True)[1]]
-        if not len(sure):
+        if not phrases:
             return found
-        number = np.unique(self.hashes, return_inverse=True)[1].astype(np.uint32)
-        letters = np.column_stack((1 + number % 64, 101 + number // 64 % 64, 201 + number // 4096))
-        line = letters.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
         automaton = ahocorasick.Automaton()
-        for p in (3 * sure).tolist():
-            automaton.add_word(line[p : p + 3 * K], True)
+        for p in phrases:
+            automaton.add_word(f" {p.decode('latin-1')} ", len(p))
         automaton.make_automaton()
-        ends = np.fromiter((e for e, _ in automaton.iter(line)), np.int64)
-        found[(ends + 1) // 3 - K] = True
+        begins = np.fromiter((end - n for end, n in automaton.iter(self.line.decode("latin-1"))), np.int64)
+        found[np.searchsorted(self.begin, begins)] = True
         return found
 
 
@@ -98,60 +101,65 @@ def _runs(starts: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _stated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(at, row, phrase, known): phrases that windows pick, once a document.
+    """(at, id, row, phrase, words, known): phrases that windows pick, once a document.
 
     What a shard already sees twice is known to recur: its rows are dealt by row, and one row without a document
     speaks for the shard. So however common a phrase is, few rows meet under it.
     """
-    for batch in slices(batches, 1, SHARD_BYTES):
-        shard = Shard(batch.column(1))
-        rows = batch.column(0).to_numpy(zero_copy_only=False)
+    for batch in slices(batches, 2, SHARD_BYTES):
+        shard = Shard(texts_of(batch.column(2)))
+        ids, rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         at = np.unique(shard.picked)
+        order = np.lexsort((shard.doc[at], shard.phrases[at]))
+        at = at[order]
         phrase, doc = shard.phrases[at], shard.doc[at]
-        order = np.lexsort((doc, phrase))
-        phrase, doc = phrase[order], doc[order]
-        value, first, count = np.unique(phrase, return_index=True, return_counts=True)
-        known = np.repeat(count > 1, count)
-        distinct = np.concatenate(([True], (phrase[1:] != phrase[:-1]) | (doc[1:] != doc[:-1])))[: len(phrase)]
-        phrase, doc, known = (x[distinct] for x in (phrase, doc, known))
-        spoken = value[count > 1].view(np.int64)
-        row, phrase = rows[doc], phrase.view(np.int64)
+        _, first, count = np.unique(phrase, return_index=True, return_counts=True)
+        spoken = at[first[count > 1]]
+        distinct = np.concatenate(([True], (phrase[1:] != phrase[:-1]) | (doc[1:] != doc[:-1])))[: len(at)]
+        known, at, doc = np.repeat(count > 1, count)[distinct], at[distinct], doc[distinct]
+        every = np.concatenate((at, spoken))
+        phrase, silent = shard.phrases[every].view(np.int64), np.arange(len(every)) >= len(at)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate((np.where(known, row, phrase), spoken))),
-                pa.array(np.concatenate((row, np.zeros(len(spoken), np.int64))), mask=np.concatenate((np.zeros(len(row), bool), np.ones(len(spoken), bool)))),
-                pa.array(np.concatenate((phrase, spoken))),
+                pa.array(np.concatenate((np.where(known, rows[doc], phrase[: len(at)]), phrase[len(at) :]))),
+                pa.array(np.concatenate((ids[doc], np.zeros(len(spoken), np.int64)))),
+                pa.array(np.concatenate((rows[doc], np.zeros(len(spoken), np.int64))), mask=silent),
+                pa.array(phrase),
+                pa.array(shard.spelt(every), pa.binary()),
                 pa.array(np.concatenate((known, np.zeros(len(spoken), bool)))),
             ],
-            names=["at", "row", "phrase", "known"],
+            names=["at", "id", "row", "phrase", "words", "known"],
         )
 
 
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by known and phrase, those whose phrase recurs: (row, phrase). One row is held back, no more."""
+    """Of rows sorted by phrase and words, those whose phrase recurs: (id, row, phrase, words). One row is held back, no more."""
 
-    def chosen(row, gone, phrase, recurs):
-        keep = recurs & ~gone
-        return pa.RecordBatch.from_arrays([pa.array(row[keep]), pa.array(phrase[keep])], names=["row", "phrase"])
+    def chosen(table: pa.Table, recurs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        gone = np.asarray(table.column("row").combine_chunks().is_null())
+        yield from table.select(["id", "row", "phrase", "words"]).filter(pa.array(recurs & ~gone)).to_batches()
 
-    held = None
+    held: pa.Table | None = None
+    repeats = False  # whether the row held back equals the one before it
     for batch in batches:
-        new = [pa.compute.fill_null(batch.column(0), 0), batch.column(0).is_null(), batch.column(1), batch.column(2)]
-        new = [c.to_numpy(zero_copy_only=False) for c in new]
-        row, gone, phrase, recurs = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-        if not len(row):
+        if not batch.num_rows:
             continue
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        phrase, words = table.column("phrase").to_numpy(), table.column("words").combine_chunks()
         same = phrase[1:] == phrase[:-1]
-        recurs = recurs.copy()
+        same[same] = np.asarray(pa.compute.equal(words.take(pa.array(np.nonzero(same)[0] + 1)), words.take(pa.array(np.nonzero(same)[0]))))
+        recurs = table.column("known").to_numpy().copy()
         recurs[1:] |= same
         recurs[:-1] |= same
-        held = [x[-1:] for x in (row, gone, phrase, recurs)]
-        yield chosen(*(x[:-1] for x in (row, gone, phrase, recurs)))
+        recurs[0] |= repeats
+        repeats = bool(same[-1]) if len(same) else False
+        yield from chosen(table.slice(0, table.num_rows - 1), recurs[:-1])
+        held = table.slice(table.num_rows - 1)
     if held is not None:
-        yield chosen(*held)
+        yield from chosen(held, held.column("known").to_numpy() | repeats)
 
 
-def _compared(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams shards through their automata. Rows without a phrase describe documents, or windows that a shard itself shows to be later copies."""
     names = ["id", "row", "phrase", "part", "start", "n", "windows", "sha"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
@@ -160,13 +168,17 @@ def _compared(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator
         return pa.RecordBatch.from_arrays([pa.array(columns[n], k) if n in columns else pa.nulls(count, k) for n, k in zip(names, kinds, strict=True)], names=names)
 
     for batch in slices(batches, 2, SHARD_BYTES):
-        ids = pa.compute.fill_null(batch.column(0), _LAST).to_numpy(zero_copy_only=False)
-        rows = batch.column(1).to_numpy(zero_copy_only=False)
-        shard = Shard(batch.column(2))
-        shas = [hashlib.sha256(b" ".join(words_of(t))).hexdigest() for t in texts_of(batch.column(2))]
-        yield made(len(rows), id=batch.column(0), row=rows, n=shard.sizes, sha=shas)
-        wanted = np.unique(batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-        found = shard.located(wanted)
+        ids, rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        shard = Shard(texts_of(batch.column(2)))
+        yield made(len(rows), id=ids, row=rows, n=shard.sizes, sha=shard.shas)
+        confirmed = dict(zip(*(c.to_pylist() for c in batch.column(3).flatten().flatten()), strict=True))
+        found = shard.located(list(confirmed))
+        split = {p: n for p, n in confirmed.items() if n > 1}
+        common, shares = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        if split:
+            common = mixed(rolled(hashed_words(pa.array([b" %b " % p for p in split], pa.large_binary()))[0], K)[::K])
+            order = np.argsort(common)
+            common, shares = common[order], np.fromiter(split.values(), np.uint64)[order]
         candidate = found[shard.picked]
         window, picked = shard.windows[candidate], shard.picked[candidate]
         if not len(window):
@@ -184,11 +196,11 @@ def _compared(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator
         kept[order] = fresh
         first, length = _runs(start[later], doc[later])
         if len(first):
-            yield made(len(first), row=rows[doc[later]][first], start=start[later][first], n=length)
+            yield made(len(first), id=ident[later][first], row=rows[doc[later]][first], start=start[later][first], n=length)
         # for the comparison across shards: the rest by phrase, with the windows that one place of a phrase picks in one row
         window, picked, phrase, digest, doc, start, ident = (x[kept] for x in (window, picked, phrase, digest, doc, start, ident))
-        often = np.isin(phrase.view(np.int64), common)
-        part = np.where(often, digest % np.uint64(PARTS), np.uint64(0)).astype(np.int32)
+        often, part = np.isin(phrase, common), np.zeros(len(phrase), np.int32)
+        part[often] = digest[often] % shares[np.searchsorted(common, phrase[often])]
         cut = np.concatenate(([True], (picked[1:] != picked[:-1]) | (window[1:] != window[:-1] + 1) | often[1:]))
         first = np.nonzero(cut)[0]
         offsets = np.concatenate((first, [len(window)])).astype(np.int32)
@@ -197,41 +209,42 @@ def _compared(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by phrase and place, the windows that a smaller place has: (row, start, n) in runs."""
-    open_phrase, seen, where = None, np.zeros(0, np.int64), {}
+    """Of rows sorted by phrase, part and place, the windows that a smaller place has: (id, row, start, n) in runs."""
+    opened, seen, where = None, np.zeros(0, np.int64), {}
     for batch in batches:
         if not batch.num_rows:
             continue
-        phrase, ident, row, start = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        lists = batch.column(4)
+        phrase, part, ident, row, start = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        group = np.concatenate(([0], np.cumsum((phrase[1:] != phrase[:-1]) | (part[1:] != part[:-1]))))
+        lists = batch.column(5)
         sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
         digest = lists.flatten().to_numpy(zero_copy_only=False)
         of = np.repeat(np.arange(len(row)), sizes)
         step = np.arange(len(digest)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        place, own = start[of] + step, phrase[of]
+        place, own = start[of] + step, group[of]
         order = np.lexsort((place, ident[of], digest, own))
         fresh = np.concatenate(([True], (own[order][1:] != own[order][:-1]) | (digest[order][1:] != digest[order][:-1])))
         lead = order[np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))]
         later = np.zeros(len(digest), bool)
         later[order] = (ident[of][order] != ident[of][lead]) | (place[order] != place[lead])
-        if open_phrase is not None and phrase[0] == open_phrase:
-            for j in np.nonzero((own == open_phrase) & np.isin(digest, seen))[0].tolist():
+        if opened == (phrase[0], part[0]):
+            for j in np.nonzero((own == 0) & np.isin(digest, seen))[0].tolist():
                 later[j] = where[digest[j]] != (ident[of[j]], place[j])
-        closing = phrase[-1]
-        if closing != open_phrase:
-            open_phrase, seen, where = closing, np.zeros(0, np.int64), {}
+        closing = group[-1]
+        if opened != (phrase[-1], part[-1]):
+            opened, seen, where = (phrase[-1], part[-1]), np.zeros(0, np.int64), {}
         for j in np.nonzero(own == closing)[0].tolist():
             where.setdefault(digest[j], (ident[of[j]], place[j]))
         seen = np.fromiter(where, np.int64, len(where))
         first, length = _runs(place[later], of[later])
-        yield pa.RecordBatch.from_arrays([pa.array(row[of][later][first]), pa.array(place[later][first]), pa.array(length)], names=["row", "start", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ident[of][later][first], row[of][later][first], place[later][first], length)], names=["id", "row", "start", "n"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removes the words of the stated windows: (row, n_removed, kept_sha256)."""
-    for batch in slices(batches, 1):
+    """Removes the words of the stated windows: (id, row, n_removed, kept_sha256)."""
+    for batch in slices(batches, 2):
         removed, shas = [], []
-        for text, starts, lengths in zip(texts_of(batch.column(1)), batch.column(2), batch.column(3), strict=True):
+        for text, starts, lengths in zip(texts_of(batch.column(2)), batch.column(3), batch.column(4), strict=True):
             words = words_of(text)
             s = starts.values.to_numpy(zero_copy_only=False)
             edges = np.zeros(len(words) + 1, np.int64)
@@ -241,7 +254,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = [words[j] for j in np.nonzero(stays)[0].tolist()]
             removed.append(len(words) - len(kept))
             shas.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], names=["row", "n_removed", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], names=["id", "row", "n_removed", "kept_sha256"])
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,24 +262,26 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A word is removed if a window of :data:`W` consecutive words of its document covers it whose words also stand
     earlier: in a document with a smaller id, or earlier in the same one. ``kept_sha256`` is of the kept words joined by
-    one space. Null and empty texts have no words; texts of fewer than W words lose none. Null ids come last in the
-    order and share one place. Rows with the same id are one document to the order: equal places don't remove each
+    one space. Windows are compared by phrase, word for word, and by a 64-bit digest. Whole texts are read, however long: a
+    text longer than a shard is a shard of its own. Null and empty texts have no words; texts of fewer than W words lose none. Null ids come last in the
+    order, with the largest long, and share one place. Rows with the same id are one document to the order: equal places don't remove each
     other, so a row given twice keeps its words in both. No rows in, no rows out. Other columns are not read.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
-    stated = docs.select("row", "text").mapInArrow(_stated, "at long, row long, phrase long, known boolean")
-    dealt = stated.repartition("at").sortWithinPartitions("known", "phrase").select("row", "phrase", "known")
-    recurring = written(dealt.mapInArrow(_recurring, "row long, phrase long"), "phrases")
-    many = max(COMMON_ROWS, COMMON_SHARE * recurring.count())
-    common = np.array([r["phrase"] for r in recurring.groupBy("phrase").count().where(F.col("count") > many).collect()], np.int64)
-    lists = recurring.groupBy("row").agg(F.collect_list("phrase").alias("phrases"))
-    shards = docs.join(lists.hint("shuffle_hash"), "row", "left").select("id", "row", "text", F.coalesce("phrases", F.array().cast("array<long>")).alias("phrases"))
-    compared = written(shards.mapInArrow(lambda batches: _compared(batches, common), "id long, row long, phrase long, part int, start long, n long, windows array<long>, sha string"), "windows")
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST))).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    stated = docs.mapInArrow(_stated, "at long, id long, row long, phrase long, words binary, known boolean")
+    dealt = stated.repartition("at").sortWithinPartitions("phrase", "words").drop("at")
+    recurring = written(dealt.mapInArrow(_recurring, "id long, row long, phrase long, words binary"), "phrases")
+    held = recurring.groupBy("phrase").agg(F.ceil(F.count(F.lit(1)) / COMMON_ROWS).cast("long").alias("parts")).where("parts > 1")
+    confirmed = recurring.join(written(held, "common"), "phrase", "left")
+    lists = confirmed.groupBy("id", "row").agg(F.collect_list(F.struct("words", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("phrases"))
+    shards = docs.join(lists, ["id", "row"], "left").select("id", "row", "text", F.coalesce("phrases", F.array().cast("array<struct<words:binary,parts:bigint>>")).alias("phrases"))
+    compared = written(shards.mapInArrow(_compared, "id long, row long, phrase long, part int, start long, n long, windows array<long>, sha string"), "windows")
     across = compared.where("phrase IS NOT NULL").select("phrase", "part", "id", "row", "start", "windows")
-    later = across.repartition("phrase", "part").sortWithinPartitions("phrase", "part", "id", "start").drop("part").mapInArrow(_resolved, "row long, start long, n long")
-    within = compared.where("phrase IS NULL AND sha IS NULL").select("row", "start", "n")
-    runs = later.unionByName(within).groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("lengths"))
-    cut = docs.select("row", "text").join(runs.hint("shuffle_hash"), "row").mapInArrow(_cut, "row long, n_removed long, kept_sha256 string")
+    later = across.repartition("phrase", "part").sortWithinPartitions("phrase", "part", "id", "start").mapInArrow(_resolved, "id long, row long, start long, n long")
+    within = compared.where("phrase IS NULL AND sha IS NULL").select("id", "row", "start", "n")
+    runs = later.unionByName(within).groupBy("id", "row").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("lengths"))
+    cut = docs.join(runs, ["id", "row"]).select("id", "row", "text", "starts", "lengths").mapInArrow(_cut, "id long, row long, n_removed long, kept_sha256 string")
     whole = compared.where("sha IS NOT NULL").select("id", "row", "n", "sha")
-    out = whole.join(cut.dropDuplicates(["row"]), "row", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    out = whole.join(cut.dropDuplicates(["id", "row"]), ["id", "row"], "left")
+    ident = F.when(F.col("id") != F.lit(int(_LAST)), F.col("id"))
+    return out.select(ident.alias(id_col), F.col("n").alias("n_words"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))

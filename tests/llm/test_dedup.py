@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,8 +128,6 @@ def test_close_links_find_every_close_pair(spark, monkeypatch, pairwise):
     signed = sorted({x - (1 << 64) if x >> 63 else x for x in fps})
     monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
     if pairwise < 10:  # the workers have their own module: call the linear way here
-        import numpy as np
-
         group = np.unique(np.array([fps[0] ^ (1 << a) ^ (1 << b) for a in range(8) for b in range(8)] + [fps[0]], np.uint64))
         free = (1 << 33) - 1
         got = simhash._least_linked(group, free, 3)
@@ -298,8 +297,6 @@ def test_groups_cut_by_batches_stay_whole():
 
 
 def test_reached_is_exact():
-    import numpy as np
-
     rng = random.Random(3)
     group = sorted({rng.getrandbits(12) << 20 for _ in range(200)})
     got = simhash._reached(np.array(group, np.uint64)[:, None], 2)
@@ -351,5 +348,28 @@ def test_substring_dedup(spark, monkeypatch, seed, vocabulary, common):
     assert sorted(got, key=str) == brute_passages(rows)
 
 
+def test_automaton_finds_phrases_word_for_word():
+    shard = substring.Shard(["a b c d e f a b c d e", "xa b c d e", None or "", "b c d e\n f a", "b c d ef a", "d e f", "a b c"])
+    found = shard.located([b"a b c d e", b"b c d e f", b"not in the text here"])
+    words = [w for t in ("a b c d e f a b c d e", "xa b c d e", "b c d e f a", "b c d ef a", "d e f", "a b c") for w in [*t.split()]]
+    assert len(found) == len(words)
+    assert np.nonzero(found)[0].tolist() == [0, 1, 6, 16]
+    assert shard.spelt(np.array([1])) == [b"b c d e f"]
+    assert not substring.Shard(["a b c d e"]).located([]).any()
+
+
+def test_recurring_phrases_over_batches():
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("phrase", pa.int64()), ("words", pa.binary()), ("known", pa.bool_())])
+    rows = sorted(((rng.randrange(9), rng.choice([i, None]) if i % 5 == 0 else i, rng.randrange(40), rng.choice([b"x", b"y"]), rng.random() < 0.1) for i in range(120)), key=lambda r: (r[2], r[3]))
+    want = sorted((i, r, p, w) for i, r, p, w, known in rows if r is not None and (known or sum((p, w) == (q, v) for _, _, q, v, _ in rows) > 1))
+    for size in (1, 2, 3, 50, 120):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[a : a + size]], schema) for a in range(0, 120, size)]
+        got = [tuple(r.values()) for b in substring._recurring(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got) == want
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring_dedup(frame(spark, [])).count() == 0
