@@ -18,9 +18,9 @@ from chunkyard.llm.common import written
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 #: A bitmap of Spark's ``bitmap_*`` functions holds so many bits in 4 KiB.
 BITMAP_BITS = 32768
-#: The filter has at most so many bits (16 MiB); it is broadcast, so its size needs this bound. Above it more rows
-#: are shuffled needlessly; results stay the same.
-MAX_FILTER_BITS = 1 << 27
+#: A filter of at most so many bits (16 MiB) is sent to every task. A larger one stays a table, and light rows meet their
+#: part of it by the number of its bitmap.
+BROADCAST_BITS = 1 << 27
 PROBES = 2
 
 _KEY, _LEN, _SLOT = "__key", "__len", "__slot"
@@ -38,8 +38,8 @@ def _slots(key: Column, bits: int) -> list[Column]:
 
 
 def filter_bits(rows: int) -> int:
-    """About 16 bits a row: a power of two from 2**20 to :data:`MAX_FILTER_BITS`."""
-    return min(MAX_FILTER_BITS, max(1 << 20, 1 << (16 * max(rows, 1) - 1).bit_length()))
+    """About 16 bits a row: a power of two from 2**20."""
+    return max(1 << 20, 1 << (16 * max(rows, 1) - 1).bit_length())
 
 
 def repeated_filter(keys: DataFrame, key: str, bits: int) -> DataFrame:
@@ -64,9 +64,11 @@ def _bit(bitmap: Column, position: Column) -> Column:
 def possibly_repeated(df: DataFrame, key: str, bits: int) -> DataFrame:
     """Pass two: ``df`` with ``__again``, false only for rows whose key occurs once in ``df``.
 
-    The filter is written first: both probes then read it, at most 16 MiB, and pass one runs once.
+    The filter is written first: both probes then read it, and pass one runs once.
     """
-    maps = F.broadcast(written(repeated_filter(df, key, bits), "bloom"))
+    maps = written(repeated_filter(df, key, bits), "bloom")
+    if bits <= BROADCAST_BITS:
+        maps = F.broadcast(maps)
     out, tests = df, []
     for i, slot in enumerate(_slots(F.col(key), bits)):
         side = maps.select(F.col("__bucket").alias(f"__bucket{i}"), F.col("__bitmap").alias(f"__bitmap{i}"))
@@ -86,7 +88,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null texts count as empty and are equal to each other. Of equal texts the longest original stays, then the
     smallest id, null ids last. A row given twice with its id counts twice in group_size, and both copies carry the same
-    decision. No rows in, no rows out. Other columns are not read, whatever their names.
+    decision. Whole texts are hashed, however long. No rows in, no rows out. Other columns are not read, whatever their names.
     """
     rows = df.select(
         F.col(id_col).alias("__id"),
@@ -115,10 +117,16 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     """The rows of ``df`` that stay, one of each group of equal texts, with all their columns.
 
     Cases are as in :func:`exact_groups`, except that of rows repeated with their id exactly one stays. Rows that the
-    filter clears go straight to the result; the rest are aggregated by key, so a group meets pre-aggregated.
+    filter clears go straight to the result; the rest are aggregated by key, so a group meets pre-aggregated. Where the filter
+    is too large for every task, light rows probe it, and texts meet the keys that occur again.
     """
+    bits = bits or filter_bits(df.count())
     keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.sha2(normalised(F.col(text_col)), 256).alias(_KEY))
-    marked = possibly_repeated(keyed, _KEY, bits or filter_bits(df.count()))
+    if bits <= BROADCAST_BITS:
+        marked = possibly_repeated(keyed, _KEY, bits)
+    else:
+        again = possibly_repeated(written(keyed.select(_KEY), "text-keys"), _KEY, bits).where("__again").select(_KEY).distinct()
+        marked = keyed.join(written(again.withColumn("__again", F.lit(True)), "again"), _KEY, "left").withColumn("__again", F.coalesce("__again", F.lit(False)))
     rank = _order(F.length(F.coalesce(F.col(f"__row.{text_col}"), F.lit(""))), F.col(f"__row.{id_col}"))
     once = marked.where("__again").groupBy(_KEY).agg(F.min_by("__row", rank).alias("__row")).select("__row.*")
     return marked.where("NOT __again").select("__row.*").unionByName(once)

@@ -55,6 +55,21 @@ def test_exact_groups_with_a_crowded_filter(spark, bits):
     assert sorted(got, key=str) == brute_exact(rows)
 
 
+@pytest.mark.parametrize("broadcast_bits", [1 << 27, 1 << 10])
+def test_filters_of_any_size_give_the_same_rows(spark, monkeypatch, broadcast_bits):
+    from chunkyard.llm import exact_dedup as module
+
+    monkeypatch.setattr(module, "BROADCAST_BITS", broadcast_bits)
+    assert module.filter_bits(1 << 40) == 1 << 44
+    rows = EXACT + [(100 + i, f"text {i % 700}") for i in range(2000)]
+    got = [tuple(r) for r in exact_groups(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == brute_exact(rows)
+    kept = exact_dedup(frame(spark, rows))
+    assert kept.columns == frame(spark, []).columns
+    want = {(i, k) for i, k, *_ in brute_exact(rows) if i == k}
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in want)
+
+
 def test_filter_clears_most_single_rows_and_no_repeated_one(spark):
     keys = spark.range(20_000).select(F.when(F.col("id") < 2000, F.col("id") % 7).otherwise(F.col("id")).cast("string").alias("key"))
     marked = possibly_repeated(keys, "key", 1 << 20)
