@@ -9,6 +9,7 @@ among the best, or when nothing is left; those rows are scored exactly.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ class ImpactIndex:
     def top(self, query: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and exact scores of rows that hold the k best (ties included), rows marked in ``own`` left out."""
         n, dims = self.vectors.shape
+        peak = int(np.abs(self.vectors).max(initial=0)) * int(np.abs(query).max(initial=0)) * dims
+        error = 0.0 if peak < 1 << 53 else peak * 2.0**-44  # bounds are doubles; scores are whole numbers
         weight = (query[self.dim] * self.sign).astype(np.float64)
         least, most = weight * self.low, weight * (self.low + self.width - 1)
         least, most = np.minimum(least, most), np.maximum(least, most)
@@ -71,7 +74,7 @@ class ImpactIndex:
                 possible = np.nonzero(~own)[0]
                 break
             best = np.partition(sure, n - k)[n - k] + lower.sum()
-            possible = np.nonzero((sure + upper.sum() >= best) & ~own)[0]
+            possible = np.nonzero((sure + upper.sum() >= best - error) & ~own)[0]
             if len(possible) <= max(4 * k, n // 64):
                 break
         if possible is None:  # vectors without components: all scores are 0
@@ -80,20 +83,28 @@ class ImpactIndex:
 
 
 def _quantised(rows: pa.ChunkedArray, scale: int) -> np.ndarray:
-    """floor(scale * x) of lists of one length, as long; OverflowError where a score might not fit a long."""
+    """floor(scale * x) of lists of one length: longs, or whole numbers of any size where one needs more than 31 bits."""
     dims = len(rows[0]) if len(rows) else 0
     flat = rows.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    vectors = np.floor(scale * flat)
-    if dims and np.abs(vectors).max(initial=0) ** 2 * dims >= 2**53:
-        raise OverflowError("components are too large for exact scores")
-    return vectors.astype(np.int64).reshape(len(rows), dims)
+    if np.abs(flat).max(initial=0) * scale < 1 << 31:
+        return np.floor(scale * flat).astype(np.int64).reshape(len(rows), dims)
+    whole = [math.floor(Fraction(x) * scale) for x in flat.tolist()]
+    return np.array(whole, object).reshape(len(rows), dims)
+
+
+def _every_score(vectors: np.ndarray, query: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As :meth:`ImpactIndex.top`, of all rows, in whole numbers of any size; what no long holds becomes the nearest long."""
+    rows = np.nonzero(~own)[0]
+    scores = [max(-(1 << 63), min((1 << 63) - 1, int(s))) for s in vectors[rows].astype(object) @ query.astype(object)] if vectors.shape[1] else [0] * len(rows)
+    return rows, np.array(scores, np.int64)
 
 
 def topk_search(df: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), the row's id and its score: each query's k highest scores among all other rows of ``df``.
 
     Components become floor(scale * x) with x as double; scores are integer inner products; ties go to the smaller id,
-    null ids last. Rows and queries whose vector is null or holds null or non-finite components take no part, nor do rows
+    null ids last. A score beyond a long counts as the nearest long; blocks with components that large are scored whole, without
+    the index. Rows and queries whose vector is null or holds null or non-finite components take no part, nor do rows
     of another length for a query. A query's own rows are those with its id. Rows repeated with their id are listed each;
     a query repeated with its vector is asked once, and one id with several vectors gets a ranking for each. Queries with
     null id are dropped. No rows or queries in, no rows out. Other columns are not read. Rows and queries meet in blocks:
@@ -117,13 +128,16 @@ def topk_search(df: DataFrame, queries: DataFrame, k: int = 10, scale: int = 102
     def search(own: pa.Table, ask: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
         if own.num_rows and ask.num_rows:
-            index = ImpactIndex(_quantised(own.column("v"), scale))
+            vectors = _quantised(own.column("v"), scale)
+            index = ImpactIndex(vectors) if vectors.dtype != object else None
             null = np.asarray(own.column("id").combine_chunks().is_null())
             ids = own.column("id").combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
             values = _quantised(ask.column("v"), scale)
             for number, (ident, query) in enumerate(zip(ask.column("id").to_pylist(), values, strict=True)):
-                at, scores = index.top(query, k, (ids == ident) & ~null)
-                best = np.lexsort((ids[at], null[at], -scores))[:k]
+                mine = (ids == ident) & ~null
+                large = index is None or query.dtype == object or int(np.abs(vectors).max(initial=0)) * int(np.abs(query).max(initial=0)) * vectors.shape[1] >= 1 << 62
+                at, scores = _every_score(vectors, query, mine) if large else index.top(query, k, mine)
+                best = np.lexsort((ids[at], null[at], ~scores))[:k]
                 out[0] += [ident] * len(best)
                 out[1] += [int.from_bytes(_digest(query), "little", signed=True)] * len(best)
                 out[2] += [None if null[j] else int(ids[j]) for j in at[best]]
@@ -140,4 +154,4 @@ def _digest(query: np.ndarray) -> bytes:
     """Tells a query's vector from others with its id."""
     import hashlib
 
-    return hashlib.blake2b(query.tobytes(), digest_size=8).digest()
+    return hashlib.blake2b(query.tobytes() if query.dtype != object else repr(query.tolist()).encode(), digest_size=8).digest()
