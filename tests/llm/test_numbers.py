@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -24,8 +25,24 @@ def brute_topk(rows, asked, k):
     return sorted(out, key=str)
 
 
-def vectors(spark, rows):
-    return spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, id int").repartition(3)
+def vectors(spark, rows, kind="float"):
+    return spark.createDataFrame([(i, v, 1) for i, v in rows], f"vec_id long, embedding array<{kind}>, id int").repartition(3)
+
+
+@pytest.mark.parametrize("size", [11_600.0, 2e5, 3e6, 1e12, 1e300])
+def test_large_components_are_scored_exactly(spark, size):
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([-1, 1]) * rng.random() * (size if i % 3 else 1.0) for _ in range(64)]) for i in range(60)]
+    asked = rows[:7]
+    df = vectors(spark, rows, "double")
+    got = [tuple(r) for r in search.topk_search(df, vectors(spark, asked, "double"), 5).collect()]
+    nearest = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    whole = {i: [math.floor(Fraction(x) * 1024) for x in v] for i, v in rows}
+    want = []
+    for q, _ in asked:
+        best = sorted((-nearest(sum(a * b for a, b in zip(whole[i], whole[q], strict=True))), i) for i, _ in rows if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(got) == sorted(want)
 
 
 @pytest.mark.parametrize("n,dims,grid", [(400, 8, 0), (300, 3, 2), (5, 4, 0)])
@@ -63,14 +80,23 @@ def test_index_stops_early_and_stays_exact():
     assert fewer >= 40
 
 
-def test_scores_too_large_raise():
-    import pyarrow as pa
+# --- mixing
 
-    with pytest.raises(OverflowError):
-        search._quantised(pa.chunked_array([pa.array([[1e30, 1.0]], pa.list_(pa.float64()))]), 1024)
 
+def brute_budgets(tokens, weights, budget, max_epochs):
+    """Tokens for every leaf (a tuple of names), down the tree by recursion."""
 
-# --- mixing
+    def down(prefix, leaves, amount):
+        if len(leaves) == 1 and leaves[0] == prefix:
+            return {prefix: amount}
+        families = {}
+        for leaf in leaves:
+            families.setdefault(leaf[: len(prefix) + 1], []).append(leaf)
+        capacity = {c: max_epochs * sum(tokens[x] for x in own) for c, own in families.items()}
+        shares = shared_out(amount, capacity, {c: weights.get(c, 1.0) for c in families})
+        return {k: v for c, own in families.items() for k, v in down(c, own, shares[c]).items()}
+
+    return down((), sorted(tokens), budget) if tokens else {}
 
 
 def test_shared_out():
@@ -89,11 +115,25 @@ def test_shared_out():
 
 def test_shortages_go_to_siblings_before_ancestors():
     tokens = {("web", "en", "a"): 10, ("web", "en", "b"): 1000, ("web", "de", "c"): 1000, ("books", "en", "d"): 1000}
-    got = leaf_budgets(tokens, {("web",): 1, ("books",): 1}, 400, 1)
+    got = brute_budgets(tokens, {("web",): 1, ("books",): 1}, 400, 1)
     assert got == {("web", "en", "a"): 10, ("web", "en", "b"): 90, ("web", "de", "c"): 100, ("books", "en", "d"): 200}
-    short = leaf_budgets({**tokens, ("web", "en", "b"): 20}, {}, 400, 1)
+    short = brute_budgets({**tokens, ("web", "en", "b"): 20}, {}, 400, 1)
     assert short == {("web", "en", "a"): 10, ("web", "en", "b"): 20, ("web", "de", "c"): 170, ("books", "en", "d"): 200}
-    assert leaf_budgets({}, {}, 5, 1) == {}
+    assert brute_budgets({}, {}, 5, 1) == {}
+
+
+@pytest.mark.parametrize("leaves", [40, 120_000])
+def test_budgets_level_by_level(spark, leaves):
+    rng = random.Random(leaves)
+    tokens = {(f"d{i % 3}", f"l{i % 5 % 2}", f"s{i}"): rng.choice([0, 1, 5, 40, 1000]) for i in range(leaves)}
+    weights = {("d0",): 3.0, ("d1",): 0.0, ("d2", "l1"): 0.25, ("d0", "l0", "s0"): 50.0}
+    budget = sum(tokens.values()) * 2 // 3
+    stats = spark.createDataFrame([(*k, v) for k, v in tokens.items()], "a string, b string, c string, n long").repartition(3)
+    got = {(r["a"], r["b"], r["c"]): r["budget"] for r in leaf_budgets(stats, ["a", "b", "c"], weights, budget, 2).collect()}
+    assert got == brute_budgets(tokens, weights, budget, 2)
+    assert sum(got.values()) == budget
+    assert leaf_budgets(stats.limit(0), ["a", "b", "c"], weights, 0, 2).count() == 0
+
 
 
 def words(text):
@@ -112,7 +152,7 @@ def test_mix_sources(spark, share, epochs, weights):
     for _, t, lang, source in MIX:
         leaf = (lang or "", source or "")
         tokens[leaf] = tokens.get(leaf, 0) + words(t)
-    budgets = leaf_budgets(tokens, weights, int(share * sum(tokens.values())), epochs)
+    budgets = brute_budgets(tokens, weights, int(share * sum(tokens.values())), epochs)
     keys = {(r["i"], r["t"], r["e"]): r["k"] for e in range(epochs + 1) for r in df.select(F.col("doc_id").alias("i"), F.col("text").alias("t"), F.lit(e).alias("e"), F.xxhash64(F.lit(11), F.lit(e).cast("long"), F.xxhash64("doc_id", "text")).alias("k")).collect()}
     want = []
     for leaf, budget in budgets.items():
