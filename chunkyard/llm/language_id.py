@@ -165,7 +165,7 @@ def _host_priors(df: DataFrame, languages: list[str]) -> DataFrame:
     return both.select("host", F.transform(prior, lambda p, i: F.log((F.col("n")[i] + SMOOTHING * domain(p, i)) / (F.col("h_all") + SMOOTHING))).alias("prior"))
 
 
-def identify_languages(
+def judged_languages(
     df: DataFrame,
     id_col: str = "doc_id",
     text: Column | None = None,
@@ -174,53 +174,79 @@ def identify_languages(
     min_confidence: float = 0.5,
     sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
-    """``df`` with ``language``, ``confidence``, ``accepted`` and ``text_language`` (the text's evidence alone).
+    """(id, mark, language, confidence, accepted, text_language) for every row of ``df``; cases are as in :func:`identify_languages`.
 
-    ``text``, ``declared`` and ``address`` are columns of ``df``; by default text, lang and source. Rows whose declaration names
-    a language are labels; each label of :data:`MIN_ROWS` rows or more is a class, fitted on a sample of about ``sample_rows`` of its rows drawn by hash. A row
-    is accepted if its best language is at least ``min_confidence`` probable. Texts without letters, null ones included,
-    have no evidence of their own: their language is "und", their confidence 0, and they are not accepted. Null or
-    unreadable declarations and addresses count as no evidence; rows without address share one host. Repeated rows are judged alike. No rows in, no
-    rows out. Columns of ``df`` with the added names are replaced.
+    Texts are scored once and don't shuffle: each row leaves its scores, its host and a ``mark`` of its evidence in a written
+    table, from which the priors are aggregated and to which they are joined.
     """
     text = F.col("text") if text is None else text
     tag = primary(F.col("lang") if declared is None else declared)
     where = F.col("source") if address is None else address
     model = TextModel.fit(df, text, tag, F.xxhash64(F.col(id_col), text), sample_rows)
     languages = model.languages
-    host = F.coalesce(host_of(where), F.lit(""))
 
     n = len(languages)
     known = F.array(*[F.lit(x) for x in languages]) if n else F.array().cast("array<string>")
     names = F.array(*[F.lit(x) for x in [*languages, UNKNOWN]])
     name_of = lambda scores: F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int"))
-    likelihoods = F.slice("__scores", 1, n)
-    other = F.col("__scores")[n] + math.log(OTHER_PRIOR)
-    alone = F.when(F.col("__scores")[n + 1] == 0, F.lit(UNKNOWN)).otherwise(name_of(F.array_append(likelihoods, other)))
-
-    seen = df.select(host.alias("host"), model.column(df, text).alias("__scores")).select("host", alone.alias("language"))
-    priors = written(_host_priors(seen, languages), "priors") if n else None
-
-    added = {"language", "confidence", "accepted", "text_language"}
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
-    rows = df.select(row, host.alias("host"), tag.alias("__tag"), address_hint(where).alias("__hint"), model.column(df, text).alias("__scores"))
-    rows = rows.join(priors, "host", "left") if n else rows
+    likelihoods = F.slice("scores", 1, n)
+    other = F.col("scores")[n] + math.log(OTHER_PRIOR)
+    empty = F.col("scores")[n + 1] == 0
+    alone = F.when(empty, F.lit(UNKNOWN)).otherwise(name_of(F.array_append(likelihoods, other)))
+
+    seen = df.select(
+        F.col(id_col).alias("id"), _mark(text, tag, where).alias("mark"), F.coalesce(host_of(where), F.lit("")).alias("host"),
+        tag.alias("tag"), address_hint(where).alias("hint"), model.column(df, text).alias("scores"),
+    )
+    rows = written(seen.withColumn("text_language", alone), "scores")
+    if n:
+        priors = _host_priors(rows.select("host", F.col("text_language").alias("language")), languages)
+        rows = rows.join(written(priors, "priors"), "host", "left")
 
     def told(evidence: Column, language: Column, truth: float) -> Column:
         unknown = evidence.isNull() | ~evidence.isin(languages)
         return F.when(unknown, F.lit(0.0)).when(evidence == language, F.lit(math.log(truth))).otherwise(F.lit(math.log((1 - truth) / max(1, n - 1))))
 
     prior = F.col("prior") if n else F.array().cast("array<double>")
-    score = lambda x, i: F.col("__scores")[i] + F.coalesce(prior[i], F.lit(0.0)) + told(F.col("__tag"), x, DECLARED_TRUE) + told(F.col("__hint"), x, ADDRESS_TRUE)
-    rows = rows.withColumn("__post", F.array_append(F.transform(known, score) if n else F.array().cast("array<double>"), other))
-    empty = F.col("__scores")[n + 1] == 0
-    top = F.array_max("__post")
-    mass = F.aggregate("__post", F.lit(0.0), lambda a, p: a + F.exp(p - top))
-    language = F.when(empty, F.lit(UNKNOWN)).otherwise(name_of(F.col("__post")))
+    score = lambda x, i: F.col("scores")[i] + F.coalesce(prior[i], F.lit(0.0)) + told(F.col("tag"), x, DECLARED_TRUE) + told(F.col("hint"), x, ADDRESS_TRUE)
+    rows = rows.withColumn("post", F.array_append(F.transform(known, score) if n else F.array().cast("array<double>"), other))
+    top = F.array_max("post")
+    mass = F.aggregate("post", F.lit(0.0), lambda a, p: a + F.exp(p - top))
+    language = F.when(empty, F.lit(UNKNOWN)).otherwise(name_of(F.col("post")))
     confidence = F.when(empty, F.lit(0.0)).otherwise(F.lit(1.0) / mass)
-    judged = rows.withColumn("__language", language).withColumn("__confidence", confidence)
-    accepted = (F.col("__language") != UNKNOWN) & (F.col("__confidence") >= min_confidence)
-    return judged.select(
-        *[F.col(f"__row.`{c}`") for c in df.columns if c not in added],
-        F.col("__language").alias("language"), F.col("__confidence").alias("confidence"), accepted.alias("accepted"), alone.alias("text_language"),
-    )
+    judged = rows.select("id", "mark", language.alias("language"), confidence.alias("confidence"), "text_language")
+    return judged.select("id", "mark", "language", "confidence", ((F.col("language") != UNKNOWN) & (F.col("confidence") >= min_confidence)).alias("accepted"), "text_language")
+
+
+def _mark(text: Column, tag: Column, address: Column) -> Column:
+    """Tells rows with one id apart by their evidence."""
+    return F.xxhash64(text, F.coalesce(tag, F.lit("")), F.coalesce(address, F.lit("")))
+
+
+def identify_languages(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text: Column | None = None,
+    declared: Column | None = None,
+    address: Column | None = None,
+    min_confidence: float = 0.5,
+    sample_rows: int = SAMPLE_ROWS,
+) -> DataFrame:
+    """``df`` with ``language``, ``confidence``, ``accepted`` and ``text_language`` (the text's evidence alone).
+
+    ``text``, ``declared`` and ``address`` are columns of ``df``; by default text, lang and source. Rows whose declaration names
+    a language are labels; each label of :data:`MIN_ROWS` rows or more is a class, fitted on a sample of about ``sample_rows`` of its rows drawn by hash. A row
+    is accepted if its best language is at least ``min_confidence`` probable; of languages with equal posteriors the first by
+    name is the best. Whole texts are read, however long, and count as at most :data:`MOST_GRAMS` trigrams. Texts without letters, null ones included,
+    have no evidence of their own: their language is "und", their confidence 0, and they are not accepted. Null or
+    unreadable declarations and addresses count as no evidence; rows without address share one host. Repeated rows are judged alike. No rows in, no
+    rows out. Columns of ``df`` with the added names are replaced. Rows meet their verdicts by id and a hash of their
+    evidence; they shuffle by that only if the verdicts are too many to be sent to every task.
+    """
+    added = ("language", "confidence", "accepted", "text_language")
+    verdicts = judged_languages(df, id_col, text, declared, address, min_confidence, sample_rows)
+    verdicts = written(verdicts.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.struct(*added).alias("__verdict")).dropDuplicates(["__id", "__mark"]), "verdicts")
+    mark = _mark(F.col("text") if text is None else text, primary(F.col("lang") if declared is None else declared), F.col("source") if address is None else address)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(id_col).alias("__own"), mark.alias("__key"))
+    rows = rows.join(verdicts, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__mark")))
+    return rows.select(*[F.col(f"__row.`{c}`") for c in df.columns if c not in added], *[F.col(f"__verdict.{c}").alias(c) for c in added])

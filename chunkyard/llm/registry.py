@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chunkyard.llm.common import table
 from chunkyard.llm.exact_dedup import exact_groups
 from chunkyard.llm.html_extract import extract_main_text
-from chunkyard.llm.language_id import identify_languages
+from chunkyard.llm.language_id import identify_languages, judged_languages
 from chunkyard.llm.license_scan import scan_licenses
 from chunkyard.llm.mixing import mix_sources
 from chunkyard.llm.packing import pack_documents
@@ -42,42 +42,51 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence labels and the base phrases' places of all documents."""
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op2_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 ids."""
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of all documents once windows of 20 words that occur before are removed."""
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of those within three bits."""
     return near_groups(table(spark, sf_dir, "documents"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays for every document, by equal texts without white space."""
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
 def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as the mixture takes them, once for each epoch."""
     taken = mixed_documents(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "domain", "language", F.col("leaf_source").alias("source"), "n_tokens", "epoch")
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all other vectors for every hundredth vector."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk_search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = identify_languages(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "language", "confidence", "accepted", "text_language")
+    """Language and confidence of all documents."""
+    judged = judged_languages(table(spark, sf_dir, "documents"))
+    return judged.select(F.col("id").alias("doc_id"), "language", "confidence", "accepted", "text_language")
 
 
 def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +99,7 @@ def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to WARC archives and read back."""
     return warc_roundtrip(table(spark, sf_dir, "pages")).drop("url")
 
 
