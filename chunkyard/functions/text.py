@@ -85,9 +85,10 @@ def heading_label(line: Column) -> Column:
 
 def protect_abbreviations(text: Column) -> Column:
     """Dots of dotted acronyms and of abbreviations before white space become a mark, so that they end no sentence."""
-    acronyms = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])(?:[A-Za-z]{1,4}\.){2,}"), F.lit(0))
-    longest = F.array_sort(F.array_distinct(acronyms), lambda a, b: F.length(b) - F.length(a))
-    marked = F.aggregate(longest, text, lambda done, x: F.replace(done, x, F.replace(x, F.lit("."), F.lit(DOT))))
+    # the text in pieces: acronyms where they stand, and all between; a run of letters can start one at its first letter only
+    start, end = r"(?<![\p{L}\p{N}_])", r"[A-Za-z]{1,4}"
+    pieces = F.regexp_extract_all(text, F.lit(rf"{start}(?:{end}\.){{2,}}|[A-Za-z]+[^A-Za-z]*|[^A-Za-z]+"), F.lit(0))
+    marked = F.array_join(F.transform(pieces, lambda x: F.when(F.regexp_like(x, F.lit(rf"^(?:{end}\.){{2,}}$")), F.replace(x, F.lit("."), F.lit(DOT))).otherwise(x)), "")
     return F.regexp_replace(marked, rf"(?i)(?<![\p{{L}}\p{{N}}_])({ABBREVIATIONS})\.(?=[\t-\r\x{{1C}}-\x{{20}}\x{{85}}\p{{Z}}])", f"$1{DOT}")
 
 
@@ -127,5 +128,6 @@ def heading_count(text: Column, family: str) -> Column:
 
 
 def source_prefix(source: Column) -> Column:
-    """The file stem up to its first underscore."""
-    return F.regexp_extract(source, r"([^/_.]*)[^/]*$", 1)
+    """The file stem up to its first underscore; the stem ends before the last dot that isn't its first character."""
+    name = F.regexp_extract(source, r"([^/]*)$", 1)
+    return F.substring_index(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), "_", 1)

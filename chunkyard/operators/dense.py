@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chunkyard.scratch import written
+
 #: Queries sent to every task at once; a larger set takes several passes over the vectors.
 BLOCK = 2048
-#: Queries that one call answers: they come to the driver.
-MAX_QUERIES = 100_000
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -28,25 +28,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def top_k(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, chunk_id, score): the k chunks (chunk_id, vector) nearest to each query (query_id, vector).
 
-    Scores are cosines rounded to 6 places; ties go to the smaller chunk_id. Vectors that are null, hold nulls or have
-    another length than the first query's take no part; a zero vector scores 0. Each batch of vectors passes on its k best for a
-    query, so what meets per query is k rows a batch.
+    Scores are cosines rounded to 6 places; ties go to the smaller chunk_id. Vectors that are null, hold nulls or NaN take
+    no part, and vectors meet queries of their own length only; a zero vector scores 0. Each batch of vectors passes on its k
+    best for a query, so what meets per query is k rows a batch. The driver holds one block of queries at a time.
     """
-    usable = lambda d: d.where("vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)")
-    asked = usable(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))).limit(MAX_QUERIES + 1).collect()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in one call")
+    usable = lambda d: d.where("vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL OR isnan(x))").withColumn("dims", F.size("vector"))
+    asked = usable(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")))
     kinds = (queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString())
     schema = f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"
-    if not asked:
+    sizes = {r["dims"]: r["count"] for r in asked.groupBy("dims").count().collect()}
+    blocks = [(dims, max(1, -(-n // BLOCK)), i) for dims, n in sorted(sizes.items()) for i in range(max(1, -(-n // BLOCK)))]
+    if not blocks:
         return chunks.sparkSession.createDataFrame([], f"{schema}, rank int").select("query_id", "rank", "chunk_id", "score")
-    dims = len(asked[0]["vector"])
-    asked = [r for r in asked if len(r["vector"]) == dims]
-    rows = usable(chunks.select("chunk_id", F.col("vector").cast("array<double>").alias("vector"))).where(F.size("vector") == dims)
+    if len(blocks) > 1:
+        asked = written(asked, "queries")
+    every = usable(chunks.select("chunk_id", F.col("vector").cast("array<double>").alias("vector")))
 
-    def block(own: list) -> DataFrame:
+    def block(dims: int, n: int, i: int) -> DataFrame:
+        own = asked.where((F.col("dims") == dims) & (F.pmod(F.xxhash64("query_id", "vector"), F.lit(n)) == i)).select("query_id", "vector").collect()
         names = [r["query_id"] for r in own]
-        held = chunks.sparkSession.sparkContext.broadcast(_unit(np.array([r["vector"] for r in own])))  # BLOCK queries
+        held = chunks.sparkSession.sparkContext.broadcast(_unit(np.array([r["vector"] for r in own], np.float64).reshape(len(own), dims)))  # about BLOCK queries
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -58,8 +59,13 @@ def top_k(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 which = np.repeat(np.arange(len(names)), best.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in which]), ids.take(pa.array(at)), pa.array(scores[at, which])], names=["query_id", "chunk_id", "score"])
 
-        return rows.mapInArrow(search, schema)
+        found = every.where(F.col("dims") == dims).select("chunk_id", "vector").mapInArrow(search, schema)
+        if len(blocks) == 1:
+            return found
+        found = written(found, "nearest")
+        held.unpersist()
+        return found
 
-    found = reduce(DataFrame.unionByName, [block(asked[i : i + BLOCK]) for i in range(0, len(asked), BLOCK)])
+    found = reduce(DataFrame.unionByName, [block(*b) for b in blocks])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")

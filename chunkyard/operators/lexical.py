@@ -1,4 +1,4 @@
-"""BM25 over postings: scoring joins query tokens with the postings that match and touches no other chunk."""
+"""BM25: chunks are tokenised once, and scoring makes postings for the query's tokens only."""
 
 from __future__ import annotations
 
@@ -9,27 +9,31 @@ from pyspark.sql import functions as F
 
 from chunkyard import config
 from chunkyard.functions import text
+from chunkyard.scratch import written
 
 
 @dataclass
 class LexicalIndex:
-    """postings (token, chunk_id, tf, dl), vocabulary (token, df, idf), totals (n, avgdl; one row)."""
+    """tokens (chunk_id, tokens, dl; one row a chunk), vocabulary (token, df, idf), totals (n, avgdl; one row)."""
 
-    postings: DataFrame
+    tokens: DataFrame
     vocabulary: DataFrame
     totals: DataFrame
 
 
 def build(chunks: DataFrame) -> LexicalIndex:
-    """The index of chunks (chunk_id, text). Rare tokens weigh more; those in most chunks get a small floor instead of a negative weight."""
-    tokens = chunks.select("chunk_id", text.tokenize(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
+    """The index of chunks (chunk_id, text). Rare tokens weigh more; those in most chunks get a small floor instead of a negative weight.
+
+    Chunks are tokenised once; only the vocabulary's partial counts shuffle. Postings are made for the tokens that are asked.
+    """
+    tokens = written(chunks.select("chunk_id", text.tokenize(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens")), "tokens")
     totals = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = tokens.select("chunk_id", "dl", F.explode("tokens").alias("token")).groupBy("token", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(totals.select("n")))  # one row
-    raw = df.select("token", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    df = df.crossJoin(F.broadcast(totals.select("n")))  # one row
+    raw = written(df.select("token", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")), "vocabulary")
     floor = raw.agg((config.EPSILON * F.avg("raw")).alias("floor"))
     vocabulary = raw.crossJoin(F.broadcast(floor)).select("token", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))  # one row
-    return LexicalIndex(postings, vocabulary, totals)
+    return LexicalIndex(tokens, vocabulary, totals)
 
 
 def top_k(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
@@ -38,7 +42,10 @@ def top_k(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
     ``queries`` has query_id and text. A token counts as often as the query repeats it. Scores are rounded to 5 places.
     """
     asked = queries.select("query_id", F.explode(text.tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
-    hits = asked.join(index.vocabulary, "token").join(index.postings, "token").crossJoin(F.broadcast(index.totals.select("avgdl")))  # one row
+    asked = written(asked.join(index.vocabulary, "token"), "asked")
+    held = index.tokens.select("chunk_id", "dl", F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    postings = held.groupBy("token", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    hits = asked.join(postings, "token").crossJoin(F.broadcast(index.totals.select("avgdl")))  # one row
     length = 1 - config.B + config.B * F.col("dl") / F.col("avgdl")
     part = F.col("times") * F.col("idf") * F.col("tf") * (config.K1 + 1) / (F.col("tf") + config.K1 * length)
     scores = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 5).alias("score")).where("score > 0")

@@ -29,12 +29,12 @@ def hits(ranked: DataFrame, golden: DataFrame) -> DataFrame:
 def per_question(ranked: DataFrame, golden: DataFrame, ks: Sequence[int] = config.EVAL_KS) -> DataFrame:
     """One row per in_corpus question: hit@k and recall@k for every k, and rr, the reciprocal rank of the first hit (0.0 without)."""
     found = hits(ranked, golden)
-    best = [F.max(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"hit@{k}") for k in ks]
-    firsts = found.groupBy("id").agg(F.min("rank").alias("first"), *best)
     quotes = found.select("id", "rank", F.explode("found").alias("quote")).groupBy("id", "quote").agg(F.min("rank").alias("rank"))
-    seen = quotes.groupBy("id").agg(*[F.count_if(F.col("rank") <= k).alias(f"quotes@{k}") for k in ks])
+    best = [F.max(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"hit@{k}") for k in ks]
+    seen = [F.count_if(F.col("rank") <= k).alias(f"quotes@{k}") for k in ks]
+    firsts = quotes.groupBy("id").agg(F.min("rank").alias("first"), *best, *seen)
     asked = golden.where("type = 'in_corpus'").select("id", "difficulty", F.size("gold_quotes").alias("n_quotes"))
-    joined = asked.join(firsts, "id", "left").join(seen, "id", "left")
+    joined = asked.join(firsts, "id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return joined.select(
         "id", "difficulty",

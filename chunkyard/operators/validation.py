@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chunkyard import config
 from chunkyard.functions import text
+from chunkyard.scratch import written
 
 # What golden rows must have.
 REQUIRED = ("id", "question", "expected_answer", "source", "gold_quotes", "type", "difficulty")
@@ -46,23 +47,36 @@ def quotes_of(golden: DataFrame) -> DataFrame:
     return rows.withColumn("needle", text.normalize(F.col("quote")))
 
 
+#: So many distinct anchors at most travel inside the plan; more are joined.
+INLINE_ANCHORS = 2000
+
+
 def holding(pages: DataFrame, quotes: DataFrame, same_source: bool | None) -> DataFrame:
     """Quotes joined with the pages that hold them, of their own source, of others, or (None) of any: by a word inside the quote, so only pages with that word are searched.
 
-    A word inside a quote, not at its edge, is a whole word of any text that holds the quote. Quotes of fewer than three words
-    have none and are compared with all pages of the sources in question, without shuffling the pages.
+    A word inside a quote, not at its edge, is a whole word of any text that holds the quote. A page is folded and searched
+    for all anchors at once, and goes on with those that it has, so texts neither shuffle nor multiply by their words. Quotes of fewer than
+    three words have no such word and are compared with all pages of the sources in question, without shuffling the pages.
     """
     words = F.split("needle", " ")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     anchor = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    asked = quotes.withColumn("anchor", anchor).withColumnRenamed("source", "gold_source").withColumnRenamed("page", "gold_page")
+    asked = quotes.select("id", "position", "quote", "needle", F.col("source").alias("gold_source"), F.col("page").alias("gold_page")).withColumn("anchor", anchor)
+    asked = written(asked, "quotes")
     folded = pages.select("source", "page", text.normalize(F.col("text")).alias("folded"))
     sources = F.lit(True) if same_source is None else F.col("source") == F.col("gold_source") if same_source else F.col("source") != F.col("gold_source")
-    wanted = asked.where("anchor IS NOT NULL").select(F.col("anchor").alias("word")).distinct()
-    spread = folded.withColumn("word", F.explode(F.array_distinct(F.split("folded", " ")))).join(wanted, "word", "left_semi")
+    anchors = [r[0] for r in asked.where("anchor IS NOT NULL").select("anchor").distinct().limit(INLINE_ANCHORS + 1).collect()]
+    held = F.array_distinct(F.split("folded", " "))
+    if len(anchors) <= INLINE_ANCHORS:
+        spread = folded.withColumn("word", F.explode(F.array_intersect(held, F.array(*map(F.lit, anchors)).cast("array<string>"))))
+    else:  # light rows find the pages of each anchor, then those pages' texts
+        light = written(folded.select("source", "page", F.explode(held).alias("word")).join(asked.select(F.col("anchor").alias("word")).distinct(), "word", "left_semi"), "anchors")
+        spread = folded.join(light.distinct(), ["source", "page"])
     long = spread.join(asked.where("anchor IS NOT NULL"), (F.col("word") == F.col("anchor")) & sources & F.contains("folded", F.col("needle")))
-    short = folded.join(asked.where("anchor IS NULL"), sources & F.contains("folded", F.col("needle")))
     columns = ["id", "position", "quote", "needle", "gold_source", "gold_page", "source", "page"]
+    if not asked.where("anchor IS NULL").limit(1).count():
+        return long.select(columns)
+    short = folded.join(asked.where("anchor IS NULL"), sources & F.contains("folded", F.col("needle")))
     return long.select(columns).unionByName(short.select(columns))
 
 

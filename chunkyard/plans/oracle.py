@@ -50,7 +50,7 @@ RANKED = f"""
     posting AS (SELECT token, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(toks) AS token FROM chunk) GROUP BY ALL),
     raw AS (SELECT token, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM posting, total GROUP BY token),
     vocabulary AS (SELECT token, df, CASE WHEN raw < 0 THEN {config.EPSILON} * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-    question AS (SELECT item_id AS query_id, {_tokens('text')}[1:12] AS toks FROM benchmark),
+    question AS (SELECT item_id AS query_id, {_tokens('text')} AS toks FROM benchmark),
     asked AS (SELECT query_id, unnest(toks) AS token FROM question),
     scored AS (
         SELECT query_id, chunk_id, round(sum(idf * tf * {config.K1 + 1} / (tf + {config.K1} * (1 - {config.B} + {config.B} * len(toks) / avgdl))), 5) AS score
@@ -189,10 +189,16 @@ ORACLE_SQL = {
     "corpus_profile": f"WITH {PROFILE} SELECT * FROM profile",
     "corpus_totals": f"WITH {PROFILE} SELECT count(*) AS sources, sum(pages)::BIGINT AS pages, sum(chars)::BIGINT AS chars, round(sum(chars) / 4 * 0.02 / 1e6, 6) AS cost FROM profile",
     "table_pages": f"WITH {TABLES} SELECT * FROM judged_pages",
-    "bm25_stats": f"WITH {RANKED} SELECT token, df, round(idf, 6) AS idf, n, round(avgdl, 6) AS avgdl FROM vocabulary, total",
+    "bm25_stats": f"""
+        WITH chunk AS (SELECT {_tokens('text')} AS toks FROM documents),
+        total AS MATERIALIZED (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM chunk),
+        counted AS MATERIALIZED (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(toks)) AS token FROM chunk) GROUP BY token),
+        raw AS MATERIALIZED (SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM counted, total),
+        low AS MATERIALIZED (SELECT {config.EPSILON} * avg(raw) AS floor FROM raw)
+        SELECT token, df, round(CASE WHEN raw < 0 THEN floor ELSE raw END, 6) AS idf, n, round(avgdl, 6) AS avgdl FROM raw, total, low""",
     "bm25_topk": f"WITH {RANKED} SELECT * FROM ranked WHERE rank <= 10",
-    "dense_topk": f"WITH {NEAR.format(which='q.vec_id < 10', k=10)} SELECT * FROM nearest",
-    "dense_threshold": f"WITH {NEAR.format(which='q.vec_id < 10', k=10)} SELECT * FROM nearest WHERE score >= {config.THRESHOLDS['dense']}",
+    "dense_topk": f"WITH {NEAR.format(which='q.vec_id % 50 = 0', k=10)} SELECT * FROM nearest",
+    "dense_threshold": f"WITH {NEAR.format(which='q.vec_id % 50 = 0', k=10)} SELECT * FROM nearest WHERE score >= {config.THRESHOLDS['dense']}",
     "rrf_hybrid": f"WITH {FUSED} SELECT * FROM fused",
     "rerank_stub": f"""WITH {FUSED},
         pair AS (

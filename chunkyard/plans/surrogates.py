@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from chunkyard import config
 from chunkyard.functions import text
 from chunkyard.operators import lexical, validation
-
-QUERY_TOKENS = 12
+from chunkyard.scratch import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,13 +26,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as queries: the first tokens of each passage."""
-    start = F.array_join(F.slice(text.tokenize(F.col("text")), 1, QUERY_TOKENS), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), start.alias("text"))
+    """Benchmark items as queries: whole passages."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as golden rows: in_corpus if any document holds the passage, from the first source that does."""
+    """Benchmark items as golden rows: in_corpus if any document holds the passage, from the first source that does. Written once."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit(0).alias("position"), F.col("text").alias("quote"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("page"))
     quotes = items.withColumn("needle", text.normalize(F.col("quote")))
     found = validation.holding(pages(spark, sf_dir), quotes, None).groupBy("id").agg(F.min("source").alias("source"))
@@ -41,10 +39,11 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = F.col("source").isNotNull()
     tier = F.element_at(F.array(*map(F.lit, validation.DIFFICULTIES)), (F.col("id") % 3 + 1).cast("int"))
     quoted = F.when(inside, F.array("quote")).otherwise(F.array().cast("array<string>"))
-    return rows.select("id", F.col("quote").alias("question"), F.lit("").alias("expected_answer"), F.coalesce("source", F.lit("")).alias("source"), F.lit(None).cast("long").alias("page"), quoted.alias("gold_quotes"), F.when(inside, "in_corpus").otherwise("out_of_corpus").alias("type"), tier.alias("difficulty"))
+    made = rows.select("id", F.col("quote").alias("question"), F.lit("").alias("expected_answer"), F.coalesce("source", F.lit("")).alias("source"), F.lit(None).cast("long").alias("page"), quoted.alias("gold_quotes"), F.when(inside, "in_corpus").otherwise("out_of_corpus").alias("type"), tier.alias("difficulty"))
+    return written(made, "golden")
 
 
 def ranked(spark: SparkSession, sf_dir: str, k: int = config.CANDIDATES) -> DataFrame:
-    """The k best documents for each question by BM25, with source and text."""
+    """The k best documents for each question by BM25, with source and text. Written once."""
     own = chunks(spark, sf_dir)
-    return lexical.top_k(lexical.build(own), questions(spark, sf_dir), k).join(own, "chunk_id")
+    return written(lexical.top_k(lexical.build(own), questions(spark, sf_dir), k).join(own, "chunk_id"), "ranked")

@@ -65,6 +65,18 @@ def test_abbreviations_come_back(spark):
     assert back == values
 
 
+def test_abbreviations_are_marked_where_they_stand(spark):
+    values = ["s.m.i. e frasixs.m.i. fine", "a.b.c. 1a.b. x_a.b. abcde.f.g. (p.i.) ab.c", "", "...", "S.p.A.\nU.S.A. a.b.\n"]
+    got = column(spark, values, lambda c: F.replace(text.protect_abbreviations(c), F.lit("<DOT>"), F.lit("#")))
+    acronym = re.compile(r"(?<!\w)(?:[A-Za-z]{1,4}\.){2,}")
+    assert got == [acronym.sub(lambda m: m[0].replace(".", "#"), v) for v in values]
+
+
+def test_source_prefix(spark):
+    values = ["a/b.c_d.pdf", "x_y.txt", "plain", "dir.x/name.tar.gz", "a_b_c.md"]
+    assert column(spark, values, text.source_prefix) == ["b.c", "x", "plain", "name.tar", "a"]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab \n", max_size=200), st.integers(3, 30))
 def test_chunks_fit_and_lose_no_letters(body, size):
