@@ -36,12 +36,12 @@ DOT = "<DOT>"
 
 def normalize(text: Column) -> Column:
     """Typographic apostrophes made plain, soft hyphens gone, white space single, trimmed, lower case."""
-    return F.lower(F.trim(F.regexp_replace(F.translate(text, "’­", "'"), WS, " ")))
+    return F.lower(F.trim(F.regexp_replace(F.replace(F.replace(text, F.lit("’"), F.lit("'")), F.lit("\u00ad"), F.lit("")), WS, " ")))
 
 
 def tokenize(text: Column) -> Column:
     """Lower-case words, and numbers whole with their separators, in order."""
-    return F.regexp_extract_all(F.lower(F.translate(text, "’", "'")), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.replace(text, F.lit("’"), F.lit("'"))), F.lit(TOKEN), F.lit(0))
 
 
 def word_tokens(text: Column) -> Column:
