@@ -31,6 +31,26 @@ def rewrite_queries(questions: DataFrame, rewriter: Callable[[Column, Column], C
     return questions.withColumn("search", F.when(F.size("history") > 0, rewriter(F.col("text"), F.col("history"))).otherwise(F.col("text")))
 
 
+def converse(
+    questions: DataFrame,
+    search: Callable[[DataFrame], DataFrame],
+    rewriter: Callable[[Column, Column], Column] | None = models.recent_question_rewriter,
+    generator: models.Generator = models.echo_generator,
+    size: int = config.HISTORY_MESSAGES,
+) -> DataFrame:
+    """(query_id, contexts, sources, answer, history): one turn of every conversation in ``questions`` (query_id, text, history).
+
+    ``search`` ranks chunks for (query_id, text), which holds rewritten questions (the originals for no ``rewriter``); answers
+    come from the original questions. ``history`` gains question and answer, with or without context, and keeps its last ``size`` messages.
+    """
+    asked = questions.withColumn("search", F.col("text")) if rewriter is None else rewrite_queries(questions, rewriter)
+    said = answer(questions, search(asked.select("query_id", F.col("search").alias("text"))), generator)
+    turn = F.array(*[F.struct(F.lit(role).alias("role"), F.col(c).alias("text")) for role, c in (("user", "text"), ("assistant", "answer"))])
+    grown = F.concat(F.col("history"), turn)
+    kept = F.slice(grown, F.greatest(F.size(grown) - size + 1, F.lit(1)), F.lit(size))
+    return said.join(questions.select("query_id", "text", "history"), "query_id").select("query_id", "contexts", "sources", "answer", kept.alias("history"))
+
+
 def answer(questions: DataFrame, ranked: DataFrame, generator: models.Generator = models.echo_generator) -> DataFrame:
     """(query_id, contexts, sources, answer): generated from the original question; a fixed message without context."""
     held = contexts(ranked)

@@ -89,9 +89,18 @@ def checked_refusal_rates(answers: DataFrame) -> dict[str, float]:
     return row
 
 
+def _cells(metrics: Sequence[str]) -> list[Column]:
+    return [F.when(F.col(f"`{m}`").isNotNull(), F.format_string("%.3f", F.col(f"`{m}`"))).otherwise("not built").alias(m) for m in metrics]
+
+
+def by_collection(results: DataFrame, mode: str = "dense", metrics: Sequence[str] = ("hit@1", "hit@3", "hit@5", "mrr")) -> DataFrame:
+    """One row a collection that has (collection, mode, metric, value) results in a mode, sorted by name: the metrics to 3 decimals."""
+    wide = results.where(F.col("mode") == mode).groupBy("collection").pivot("metric", list(metrics)).agg(F.first("value"))
+    return wide.select("collection", *_cells(metrics)).orderBy("collection")
+
+
 def comparison(results: DataFrame, modes: Sequence[str] = config.MODES, metrics: Sequence[str] = ("hit@1", "hit@3", "hit@5", "hit@20", "mrr")) -> DataFrame:
     """One row a mode of (mode, metric, value) results: the metrics to 3 decimals, "not built" where there is none."""
     wide = results.groupBy("mode").pivot("metric", list(metrics)).agg(F.first("value"))
     listed = results.sparkSession.createDataFrame([(m,) for m in modes], "mode string")
-    cells = [F.when(F.col(f"`{m}`").isNotNull(), F.format_string("%.3f", F.col(f"`{m}`"))).otherwise("not built").alias(m) for m in metrics]
-    return listed.join(wide, "mode", "left").select("mode", *cells)
+    return listed.join(wide, "mode", "left").select("mode", *_cells(metrics))

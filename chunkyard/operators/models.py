@@ -42,6 +42,12 @@ def echo_generator(prompt: Column) -> Column:
     return F.when(body == "", F.lit(config.NO_CONTEXT)).otherwise(F.substring(body, 1, 200))
 
 
+def recent_question_rewriter(question: Column, history: Column) -> Column:
+    """The question after the last one that the user asked before it."""
+    asked = F.filter(history, lambda m: m.role == "user")
+    return F.concat_ws(" ", F.try_element_at(asked, F.lit(-1)).text, question)
+
+
 def model_udf(load: Callable[[], Callable[[pd.Series], pd.Series]], kind: str) -> Callable[[Column], Column]:
     """A column function for a model that ``load`` opens once a worker."""
 

@@ -68,9 +68,12 @@ def load_documents(spark: SparkSession, folder: str, ext: str = "pdf", root: str
     return files.select(source, "content").mapInPandas(pages, schemas.PAGES)
 
 
-def load_golden(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a JSON-lines file with :data:`chunkyard.schemas.GOLDEN`; blank lines are skipped, ValueError names a bad line."""
-    raw = golden_lines(spark, path)
+def load_golden(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """The rows of a JSON-lines file with :data:`chunkyard.schemas.GOLDEN`; ValueError names a bad line.
+
+    Blank lines are skipped, or bad if ``strict``. What follows the last line break is no line where it is empty.
+    """
+    raw = golden_lines(spark, path, blank=strict)
     schema = spark.createDataFrame([], schemas.GOLDEN).schema
     parsed = raw.withColumn("bad", F.expr("try_parse_json(json)").isNull())
     if bad := parsed.where("bad").select("line").orderBy("line").limit(1).collect():
@@ -78,11 +81,11 @@ def load_golden(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(F.from_json("json", schema).alias("row")).select("row.*")
 
 
-def golden_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, json): a golden set's lines with their numbers, blank ones left out. A golden set is small: it is one text."""
-    whole = spark.read.text(path, wholetext=True)
-    numbered = whole.select(F.posexplode(F.split("value", "\n")).alias("at", "json"))
-    return numbered.where(F.regexp_replace("json", WS, "") != "").select((F.col("at") + 1).alias("line"), "json")
+def golden_lines(spark: SparkSession, path: str, blank: bool = False) -> DataFrame:
+    """(line, json): a golden set's lines with their numbers, without blank ones unless asked for. A golden set is small: it is one text."""
+    whole = spark.read.text(path, wholetext=True).where("value <> ''")
+    numbered = whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("at", "json"))
+    return numbered.where(F.lit(blank) | (F.regexp_replace("json", WS, "") != "")).select((F.col("at") + 1).alias("line"), "json")
 
 
 def load_results(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,5 +102,11 @@ def load_object(spark: SparkSession, path: str, key: str, schema: str) -> DataFr
     return whole.select(F.explode(F.from_json(F.get_json_object("value", f"$.{key}"), f"array<struct<{schema}>>")).alias("row")).select("row.*")
 
 
+def load_answers(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
+    """What :func:`chunkyard.sources.reports.stored_answers` wrote: its settings, and (id, type, question, reference, contexts, answer)."""
+    held = json.loads(spark.read.text(path, wholetext=True).first()["value"])
+    return held["config"], load_object(spark, path, "rows", "id string, type string, question string, reference string, contexts array<string>, answer string")
+
+
 def as_json(row: dict) -> str:
     return json.dumps(row, indent=2, ensure_ascii=False)

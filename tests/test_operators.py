@@ -266,6 +266,18 @@ def test_answers_history_and_judge(spark, tmp_path):
     asked = spark.createDataFrame([("q", "it?", [("user", "roof")]), ("r", "x", [])], "query_id string, text string, history array<struct<role string, text string>>")
     out = {r["query_id"]: r["search"] for r in answering.rewrite_queries(asked, lambda t, h: F.concat(h[0]["text"], F.lit(" "), t)).collect()}
     assert out == {"q": "roof it?", "r": "x"}
+    seen = []
+
+    def search(rows):
+        seen.extend(r["text"] for r in rows.orderBy("query_id").collect())
+        return ranked(spark, ("q", "a height", HOME))
+
+    long = [("user" if i % 2 == 0 else "assistant", f"m{i}") for i in range(8)]
+    asked = spark.createDataFrame([("q", "it?", long), ("r", "x", [])], asked.schema)
+    turns = {r["query_id"]: r for r in answering.converse(asked, search).collect()}
+    assert seen == ["m6 it?", "x"] and turns["q"]["sources"] == [HOME] and turns["r"]["answer"] == config.NO_CONTEXT and turns["r"]["sources"] == []
+    assert [m["text"] for m in turns["q"]["history"]] == [f"m{i}" for i in range(2, 8)] + ["it?", turns["q"]["answer"]]
+    assert [tuple(m) for m in turns["r"]["history"]] == [("user", "x"), ("assistant", config.NO_CONTEXT)]
     path = str(tmp_path / "x" / "answers.json")
     first = reports.stored_answers(path, {"k": 3}, lambda: answering.answer_rows(gold, found))
     assert reports.stored_answers(path, {"k": 3}, lambda: None) == first
@@ -319,6 +331,12 @@ def test_golden_and_results(spark, tmp_path):
     path.write_text(fixtures.GOLDEN[0] + "\n\n{broken\n")
     with pytest.raises(ValueError, match="line 3"):
         files.load_golden(spark, str(path))
+    with pytest.raises(ValueError, match="line 2"):
+        files.load_golden(spark, str(path), strict=True)
+    path.write_text(fixtures.GOLDEN[0] + "\n" + fixtures.GOLDEN[4] + "\n")
+    assert files.load_golden(spark, str(path), strict=True).count() == 2
+    path.write_text("")
+    assert files.load_golden(spark, str(path), strict=True).count() == 0
     for mode, mrr in (("dense", 0.25), ("bm25", 0.5)):
         reports.save_results(str(tmp_path / "r"), {"collection": "c", "mode": mode, "n_in_corpus": 3, "scores": {"mrr": mrr}}, "# x")
     assert json.loads((tmp_path / "r" / "c__dense.json").read_text())["scores"] == {"mrr": 0.25}
