@@ -19,7 +19,8 @@ from chunkyard.llm.common import slices, texts_of
 # The base phrases and their labels.
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
-#: Templates by label, in the wording of the public licence texts and of the notices that refer to them.
+#: Templates by label: ``-text`` is a licence from its grant to the end of its disclaimer, ``-header`` what a file states in its
+#: place, ``-notice`` a sentence that refers to it. Longer licences (the full Apache and GNU texts) go into ``scan_licenses`` as a parameter.
 TEMPLATES = {
     "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;words=1-6>> and
         associated documentation files<<beginOptional>> (the "Software")<<endOptional>>, to deal in the Software without
@@ -27,23 +28,48 @@ TEMPLATES = {
         sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do
         so, subject to the following conditions: The above copyright notice and this permission notice
         <<beginOptional>>(including the next paragraph) <<endOptional>>shall be included in all copies or substantial
-        portions of the Software.""",
+        portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+        INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL <<var;words=2-12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+        WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR
+        THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "mit-notice": "<<beginOptional>>is <<endOptional>>(released|licensed|distributed|available) under the <<beginOptional>>terms of the <<endOptional>>MIT License",
     "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
-        hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+        hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE
+        SOFTWARE IS PROVIDED "AS IS" AND <<var;words=1-12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;words=1-12>> BE LIABLE
+        FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF
+        USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR
+        IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "bsd-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
         that the following conditions are met: <<var;words=0-1>> Redistributions of source code must retain the above
         copyright notice, this list of conditions and the following disclaimer. <<var;words=0-1>> Redistributions in
         binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
-        the documentation and/or other materials provided with the distribution.""",
-    "apache-notice": """Licensed under the Apache License, Version <<var;words=1-2>><<beginOptional>> (the "License"); you
-        may not use this file except in compliance with the License. You may obtain a copy of the License at
-        <<var;words=1-12>> Unless required by applicable law or agreed to in writing<<endOptional>>""",
+        the documentation and/or other materials provided with the distribution.
+        <<beginOptional>><<var;words=0-1>> Neither the name of <<var;words=1-12>> nor the names of <<var;words=0-1>>
+        contributors may be used to endorse or promote products derived from this software without specific prior
+        written permission. <<endOptional>>THIS SOFTWARE IS PROVIDED BY <<var;words=1-12>> "AS IS" AND ANY EXPRESS OR
+        IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+        PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;words=1-12>> BE LIABLE FOR ANY DIRECT, INDIRECT,
+        INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF
+        SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+        THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING
+        IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "apache-header": """Licensed under the Apache License, Version <<var;words=1-2>> (the "License"); you may not use this
+        file except in compliance with the License. You may obtain a copy of the License at <<var;words=1-12>> Unless
+        required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+        "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+        specific language governing permissions and limitations under the License.""",
+    "apache-notice": "(released|licensed|distributed|available) under the <<beginOptional>>terms of the <<endOptional>>Apache License<<beginOptional>>, Version <<var;words=1-2>><<endOptional>>",
     "gpl-notice": """licensed under the GNU <<beginOptional>>Lesser <<endOptional>><<beginOptional>>Affero <<endOptional>>General
         Public License<<beginOptional>>, version <<var;words=1-2>><<endOptional>>""",
-    "gpl-text": """This <<var;words=1-4>> is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or
+    "gpl-header": """This <<var;words=1-4>> is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or
         modify it under the terms of the GNU <<beginOptional>>Lesser <<endOptional>><<beginOptional>>Affero <<endOptional>>General
-        Public License as published by the Free Software Foundation""",
+        Public License as published by the Free Software Foundation<<beginOptional>>,<<endOptional>> either version
+        <<var;words=1-2>> of the License, or (at your option) any later version. This <<var;words=1-4>> is distributed in
+        the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY
+        or FITNESS FOR A PARTICULAR PURPOSE. See the GNU <<beginOptional>>Lesser <<endOptional>><<beginOptional>>Affero
+        <<endOptional>>General Public License for more details.""",
     "cc-by-nc-notice": "(licensed|available|released) under <<beginOptional>>the <<endOptional>>CC BY-NC<<beginOptional>> <<var;words=1-2>><<endOptional>>",
 }
 
@@ -188,7 +214,7 @@ class TokenAutomaton:
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
-    """One row per row of ``df``: id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_matches.
+    """One row per row of ``df``, however long its text: id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_matches.
 
     ``n_base`` counts the places of the phrases in :data:`BASE`, ``first_word`` and ``last_word`` are their smallest and
     largest start (null without any). ``labels`` adds the labels of ``templates`` (default :data:`TEMPLATES`) that match

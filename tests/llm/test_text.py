@@ -74,6 +74,19 @@ def test_templates_need_their_mandatory_words_only(label):
     assert not automaton.accepts_text(b" ".join([*words[:fixed], b"qqq", *words[fixed + 1 :]]).decode(), label)
 
 
+@pytest.mark.parametrize("label", [k for k in TEMPLATES if not k.endswith("-notice")])
+def test_every_mandatory_word_counts(label):
+    """A text with any one fixed word changed or left out, disclaimer included, is no longer the licence."""
+    automaton = TokenAutomaton({label: TEMPLATES[label]})
+    words = words_of(plain(TEMPLATES[label], False))
+    fixed = [i for i, w in enumerate(words) if w != b"zz"]
+    assert len(fixed) == automaton.mandatory[0]
+    assert automaton.matches(words) and automaton.accepts_text(b" ".join(words).decode(), label)
+    for i in fixed:
+        for other in ([*words[:i], b"qqq", *words[i + 1 :]], [*words[:i], *words[i + 1 :]]):
+            assert not automaton.matches(other) and not automaton.accepts_text(b" ".join(other).decode(), label)
+
+
 def test_markup_against_regular_expressions():
     rng = random.Random(3)
     templates = {"t": "a b<<beginOptional>> c<<beginOptional>> d<<endOptional>><<endOptional>> <<var;words=1-2>> e", "u": "b (x|y) <<var;words=0-1>> a"}
