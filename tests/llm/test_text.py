@@ -3,10 +3,12 @@
 import hashlib
 import html.parser
 import io
+import math
 import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet
@@ -382,6 +384,72 @@ def test_identify_languages(spark):
     assert identify_languages(df.limit(0)).count() == 0
 
 
+def brute_posteriors(rows):
+    """(language, confidence, language by text alone) of (text, declared, address) rows, by plain counting; every label has few rows."""
+
+    def grams(text):
+        line = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in (text or "").lower().encode()).split()
+        x = b" " + b" ".join(line) + b" "
+        return [((x[i] << 16 | x[i + 1] << 8 | x[i + 2]) * 0x9E3779B1 % 2**32) >> 16 for i in range(len(x) - 2)] if line else []
+
+    def host(address):
+        return (re.sub(r"^[a-z]+://|[:/?#].*", "", address.lower()) if "//" in address else address.lower()) if address else ""
+
+    def hint(address):
+        if path := re.match(r"[a-z]+://[^/]+/([a-z]{2})(?:[/?#]|$)", address or ""):
+            return path[1]
+        return {"de": "de", "fr": "fr", "uk": "en"}.get(host(address).rpartition(".")[2]) if "." in host(address) else None
+
+    tags = [d[:2].lower() if d else None for _, d, _ in rows]
+    names = sorted(x for x in set(tags) - {None} if tags.count(x) >= 5)
+    counts = {x: Counter(g for (t, _, _), tag in zip(rows, tags, strict=True) if tag == x for g in grams(t)) for x in names}
+    total = {x: sum(c.values()) + 0.05 * 65536 for x, c in counts.items()}
+    likely, alone = [], []
+    for text, _, _ in rows:
+        g = grams(text)
+        scale = min(len(g), 300) / 3 / len(g) if g else 0
+        own = {x: scale * sum(math.log((counts[x][b] + 0.05) / total[x]) for b in g) for x in names} | {"und": -scale * len(g) * math.log(65536) + math.log(0.001)}
+        likely.append(own)
+        alone.append(max(own, key=own.get) if g else "und")
+    hosts = [host(a) for _, _, a in rows]
+    domain = {h: ".".join(h.split(".")[-2:]) for h in hosts}
+    seen = Counter(zip(hosts, alone, strict=True))
+    whole = {x: sum(n for (_, y), n in seen.items() if y == x) for x in names}
+    out = []
+    for (text, _, address), own, tag, h, by_text in zip(rows, likely, tags, hosts, alone, strict=True):
+        if not grams(text):
+            out.append(("und", 0.0, "und"))
+            continue
+        post = {"und": own["und"]}
+        of_domain = {x: sum(n for (k, y), n in seen.items() if domain[k] == domain[h] and y == x) for x in names}
+        for x in names:
+            top = (whole[x] + 1) / (sum(whole.values()) + len(names))
+            middle = (of_domain[x] + 20 * top) / (sum(of_domain.values()) + 20)
+            prior = (seen[h, x] + 20 * middle) / (sum(seen[h, y] for y in names) + 20)
+            told = [(p if e == x else (1 - p) / (len(names) - 1)) for e, p in ((tag, 0.85), (hint(address), 0.7)) if e in names]
+            post[x] = own[x] + math.log(prior) + sum(map(math.log, told))
+        best = max(post, key=post.get)
+        out.append((best, 1 / sum(math.exp(v - post[best]) for v in post.values()), by_text))
+    return out
+
+
+def test_posteriors_against_plain_counting(spark):
+    rng = random.Random(11)
+    places = ["https://a.example.de/x", "http://b.example.de/fr/1", "src7", None, "", "http://news.co.uk/", "http://m.site.fr/", "http://site.fr/en"]
+    rows = []
+    for _ in range(300):
+        mixed = [rng.choice(WORDS[x]) for x in rng.choices(["en", "fr", "de"], weights=rng.choice([(1, 1, 1), (9, 1, 1), (1, 9, 1), (1, 1, 9)]), k=rng.randrange(0, 6))]
+        rows.append((" ".join(mixed), rng.choice(["en", "FR", "de-AT", None, "it"]) if rng.random() < 0.95 else "pl", rng.choice(places)))
+    rows += [("ωω ψψ " * 30, None, None), (None, "en", "src7"), ("12 34", "de", None)]
+    assert sum(d == "pl" for _, d, _ in rows) >= 5
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string").repartition(3)
+    got = [(r["language"], r["confidence"], r["text_language"]) for r in identify_languages(df).orderBy("doc_id").collect()]
+    want = brute_posteriors(rows)
+    assert len({x for x, _, _ in want}) >= 4
+    for g, w, row in zip(got, want, rows, strict=True):
+        assert abs(g[1] - w[1]) < 1e-4 and (g[0] == w[0] or w[1] < 0.51) and g[2] == w[2], (row, g, w)
+
+
 def test_held_out_accuracy(spark):
     rng = random.Random(6)
     train = spark.createDataFrame([(i, speech(rng, x, 30), x) for i, x in enumerate(["en", "fr", "de"] * 40)], "doc_id long, text string, lang string")
