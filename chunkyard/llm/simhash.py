@@ -245,8 +245,8 @@ def near_groups(
 
     ``fingerprint`` is 16 lower-case hexadecimal digits, ``component_id`` the smallest id that a row reaches, its own
     included. Null and empty texts have fingerprint zero and link like any other. Null ids reach others and never name a
-    component unless all ids of it are null. Repeated rows get one row each. No rows in, no rows out. Other columns are
-    not read.
+    component unless all ids of it are null. Repeated rows get one row each. Whole texts count, however long. No rows in, no
+    rows out. Other columns are not read.
     """
     rows = written(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("id").alias("first"))
@@ -293,5 +293,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     named = held.groupBy("node").agg(F.min("stays").alias("kept"))
     of_print = held.join(named, "node").select("prints", "check", "kept")
     told = rows.join(of_print, ["prints", "check"]).where("NOT (who <=> kept)")
-    dropped = written(told.select("who.id", "who.mark").distinct(), "dropped")
-    return df.join(dropped, F.col(id_col).eqNullSafe(dropped.id) & (mark == dropped.mark), "left_anti")
+    dropped = written(told.select(F.col("who.id").alias("__id"), F.col("who.mark").alias("__mark")).distinct(), "dropped")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(id_col).alias("__own"), mark.alias("__key"))
+    gone = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__mark"))
+    return rows.join(dropped, gone, "left_anti").select("__row.*")

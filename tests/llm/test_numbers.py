@@ -225,3 +225,30 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
     drop_scratch(spark)
+
+
+CLASHING = ["id", "mark", "__row", "__key", "__own", "__id", "__mark", "prior", "kept", "keep_id", "component_id", "sequence_id", "n_tokens", "epoch", "domain", "leaf_source", "who", "node", "prints", "host", "language", "accepted", "confidence", "__c4", "a.b"]
+
+
+def test_stages_with_clashing_columns_nulls_and_long_texts(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(10)
+    vocabulary = {x: [f"{x}{rng.randrange(300)}".translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(60)] for x in ("en", "fr")}
+    text = lambda x, n: " ".join(rng.choice(vocabulary[x]) for _ in range(n))
+    rows = [(i, text(x, 40), x, f"src{i % 3}") for i, x in enumerate(["en", "fr"] * 30)]
+    rows += [(100, text("en", 60_000), "en", "src1"), (101, rows[0][1], "en", "src2"), (None, text("fr", 50), "fr", None), (102, text("en", 30), None, ""), (103, None, None, None), (104, "", "en", "src1"), rows[5]]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    crowded = plain.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce(F.substring("text", 1, 9), F.lit("?"))).alias(c) for c in CLASHING])
+    for name, stage in corpus_pipeline.STAGES:
+        want, got = (stage(spark, df, str(tmp_path)) for df in (plain, crowded))
+        if name == "packing":
+            assert got.columns == want.columns
+            held = [sorted((tuple(r) for r in df.groupBy("doc_id").agg(F.sum("length")).collect()), key=str) for df in (got, want)]
+            assert held[0] == held[1]
+            continue
+        assert got.columns == crowded.columns
+        held = [sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str) for df in (got, want)]
+        assert held[0] == held[1], name
+        assert got.where(" OR ".join(f"`{c}` <> concat('{c} ', coalesce(substring(text, 1, 9), '?'))" for c in CLASHING)).count() == 0, name
+    drop_scratch(spark)
