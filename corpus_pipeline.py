@@ -6,7 +6,10 @@ stages are meant to be written as Parquet and read again, one after the other, a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chunkyard.llm.common import table, written
 from chunkyard.llm.exact_dedup import exact_dedup
@@ -16,24 +19,35 @@ from chunkyard.llm.registry import mixed_documents
 from chunkyard.llm.simhash import near_dedup
 
 
+#: What the operators read; any other column passes through them under a name of its own.
+READ = ("doc_id", "text", "lang", "source")
+
+
+def _kept(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that an operator keeps of ``docs``, with the columns of ``docs`` unchanged, however they are named."""
+    inner = [c if c in READ else f"__c{i}" for i, c in enumerate(docs.columns)]
+    kept = operator(docs.select([F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, inner, strict=True)]))
+    return kept.select([F.col(n).alias(c) for c, n in zip(docs.columns, inner, strict=True)])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain enough; texts without letters go."""
-    return identify_languages(docs).where("accepted").select(docs.columns)
+    return _kept(docs, lambda d: identify_languages(d).where("accepted"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal but for white space."""
-    return exact_dedup(docs).select(docs.columns)
+    return _kept(docs, exact_dedup)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that share four fifths of their five-word shingles, as SimHash fingerprints tell."""
-    return near_dedup(docs).select(docs.columns)
+    return _kept(docs, near_dedup)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the target weights take them: as many tokens as came in, short sources up to four times."""
-    return mixed_documents(docs).select(docs.columns)
+    return _kept(docs, mixed_documents)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
