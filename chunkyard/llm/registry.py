@@ -118,6 +118,25 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_repeated_passages": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+        ), windows AS (
+            SELECT r, doc_id, start, array_to_string(words[start:start + 19], ' ') AS said
+            FROM (SELECT r, doc_id, words, unnest(range(1, len(words) - 18)) AS start FROM d)
+        ), later AS (
+            SELECT r, start FROM windows QUALIFY rank() OVER (PARTITION BY said ORDER BY doc_id, start) > 1
+        ), word AS (
+            SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS start FROM d
+        ), marked AS (
+            SELECT w.r, w.word, w.start,
+                   coalesce(bool_or(l.r IS NOT NULL) OVER (PARTITION BY w.r ORDER BY w.start ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+            FROM word w LEFT JOIN later l USING (r, start)
+        ), kept AS (
+            SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY start) FILTER (NOT gone) AS kept FROM marked GROUP BY r
+        )
+        SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+    """,
     "op8_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
