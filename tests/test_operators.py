@@ -299,6 +299,26 @@ def test_collections(spark, tmp_path):
         collections.read(spark, root, "none")
 
 
+def test_upserts_write_their_own_rows_and_merge(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(collections, "MAX_PARTS", 3)
+    root, folder = str(tmp_path), tmp_path / "c"
+    row = lambda i, text: spark.createDataFrame([(i, "s", text)], "chunk_id string, source string, text string")
+    for i, (key, text) in enumerate([("a", "1"), ("b", "2"), ("a", "3"), ("c", "4"), ("b", "5")]):
+        opened = collections.read(spark, root, "c") if i else None
+        collections.write(row(key, text), root, "c", replace=False)
+        assert opened is None or opened.count() in (1, 2, 3)  # what a reader opened stays readable after the next write
+        assert len((folder / "_PARTS").read_text().split()) == (1, 2, 3, 1, 2)[i]
+    assert {(r["chunk_id"], r["text"]) for r in collections.read(spark, root, "c").collect()} == {("a", "3"), ("b", "5"), ("c", "4")}
+    (folder / "part-unfinished").mkdir()  # what a failed run left is not read, and goes with the next write
+    assert collections.read(spark, root, "c").count() == 3
+    collections.write(row("z", "9"), root, "c")
+    assert [tuple(r) for r in collections.read(spark, root, "c").collect()] == [("z", "s", "9")]
+    assert not (folder / "part-unfinished").exists()
+    collections.write(spark.createDataFrame([], "chunk_id string, source string, text string"), root, "c")
+    with pytest.raises(ValueError):
+        collections.read(spark, root, "c")
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("uno\ndue")
     (tmp_path / "b.txt").write_text("tre")
