@@ -1,7 +1,8 @@
-"""Repair of UTF-8 text that was decoded as Windows-1252."""
+"""Repair of UTF-8 text that was decoded as Windows-1252, and of characters that only look like plain ones."""
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 
@@ -20,8 +21,17 @@ _MISREAD = re.compile("|".join(f"[{lead}](?:[{_FOLLOW}]){{{n}}}" for n, lead in
 #: The second byte of a misread à, turned from a no-break space into a plain one, with the space that followed it.
 _A_GRAVE = re.compile(r"(?<=\w)Ã (?=\s)")
 
-# Ligatures and line separators that are spelt out.
-_PLAIN = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", " ": "\n", " ": "\n"}
+# What is spelt out in plain characters, and what is left out.
+_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ſt", "ﬆ": "st", "Ĳ": "IJ", "ĳ": "ij"}
+_QUOTES = {**dict.fromkeys("\u02bc\u2018\u2019\u201a\u201b", "'"), **dict.fromkeys("\u201c\u201d\u201e\u201f", '"')}
+_CONTROLS = dict.fromkeys([*range(0x00, 0x09), 0x0B, *range(0x0E, 0x20), 0x7F, *range(0x206A, 0x2070), 0xFEFF, *range(0xFFF9, 0xFFFD)])
+_PLAIN = {**str.maketrans(_LIGATURES), **str.maketrans(_QUOTES), **_CONTROLS, 0x3000: " "}
+_LINE_END = re.compile("\r\n|[\r\x85\u2028\u2029]")
+_TERMINAL = re.compile(r"\x1b\[[\d;]*[A-Za-z]")
+_WIDE = re.compile("[\uff01-\uffef]+")
+_REFERENCE = re.compile(r"&#?[0-9A-Za-z]{1,24};")
+#: Texts without any of these are as they should be.
+_SUSPECT = r"[^\x09\x0A\x0C\x20-\x7E]|&#?[0-9A-Za-z]{1,24};"
 
 
 def _read_again(match: re.Match) -> str:
@@ -32,20 +42,26 @@ def _read_again(match: re.Match) -> str:
 
 
 def fix_text(text: str) -> str:
-    """Misread characters read again until nothing changes; ligatures spelt out; composed form (NFC)."""
+    """Misread characters read again until nothing changes, and what typesetting or terminals left made plain.
+
+    Character references are resolved in texts without "<"; terminal colours and control characters go; ligatures are spelt
+    out; wide characters, quotation marks and line ends get their usual form; the result is composed (NFC).
+    """
+    if "<" not in text:
+        text = _REFERENCE.sub(lambda m: html.unescape(m[0]), text)
+    text = _TERMINAL.sub("", text)
     before = None
     while before != text:
         before, text = text, _A_GRAVE.sub("à", _MISREAD.sub(_read_again, text))
-    for mark, plain in _PLAIN.items():
-        text = text.replace(mark, plain)
-    return unicodedata.normalize("NFC", text)
+    text = _WIDE.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
+    return unicodedata.normalize("NFC", _LINE_END.sub("\n", text).translate(_PLAIN))
 
 
 def fixed(text: Column) -> Column:
-    """:func:`fix_text` of a column. Texts of ASCII characters alone skip Python."""
+    """:func:`fix_text` of a column. Texts of plain ASCII characters alone skip Python."""
 
     @F.pandas_udf("string")
     def repaired(texts: pd.Series) -> pd.Series:
         return texts.map(fix_text, na_action="ignore")
 
-    return F.when(text.rlike(r"[^\x00-\x7F]"), repaired(text)).otherwise(text)
+    return F.when(text.rlike(_SUSPECT), repaired(text)).otherwise(text)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from chunkyard import config
+from chunkyard.functions import splitters
 from chunkyard.functions import text as t
 from chunkyard.operators import profile
 from chunkyard.plans import fixtures
@@ -158,6 +159,46 @@ def _history(size: int) -> str:
         SELECT conv_id, turn, list(concat_ws(':', role, text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {size} PRECEDING AND 1 PRECEDING) AS h FROM conversations)"""
 
 
+def _chunked(pages: str, sizes: Mapping[str, int], separators: Sequence[str]) -> str:
+    """Recursive splitting, level by level: ``pages`` gives source, page and text; ``separators`` are regular expressions, coarse to fine.
+
+    Every level cuts before its separator and passes long pieces on; neighbours that stay form runs, which are filled to
+    chunks one after the other.
+    """
+    size, overlap = sizes["chunk_size"], sizes["chunk_overlap"]
+    levels = [f"item_0 AS (SELECT source, page, 0::BIGINT AS origin, text FROM ({pages}) WHERE text <> '')"]
+    for i, separator in enumerate(separators):
+        cut = f"string_split(regexp_replace(text, '({separator})', chr(1) || '\\1', 'g'), chr(1))" if separator else "regexp_extract_all(text, '(?s).')"
+        long = f"length(piece) >= {size} OR n = 1" if i + 1 < len(separators) else "false"  # a text without the separator passes whole
+        levels.append(f"""parts_{i} AS (SELECT source, page, origin, list_filter({cut}, lambda x: x <> '') AS parts FROM item_{i}),
+            piece_{i} AS (
+                SELECT source, page, origin, piece, no, origin + coalesce(sum(length(piece)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, {long} AS passed
+                FROM (SELECT source, page, origin, len(parts) AS n, unnest(parts) AS piece, generate_subscripts(parts, 1) AS no FROM parts_{i}) WINDOW w AS (PARTITION BY source, page, origin ORDER BY no)
+            ),
+            stay_{i} AS (SELECT *, count(*) FILTER (passed) OVER (PARTITION BY source, page, origin ORDER BY no) AS run FROM piece_{i}),
+            item_{i + 1} AS (SELECT source, page, start AS origin, piece AS text FROM piece_{i} WHERE passed)""")
+    stay = " UNION ALL ".join(f"SELECT source, page, {i} AS level, origin, run, start, length(piece) AS n FROM stay_{i} WHERE NOT passed" for i in range(len(separators)))
+    return f"""WITH RECURSIVE {', '.join(levels)},
+        run AS (
+            SELECT source, page, min(start) AS opens, [0] || list(done ORDER BY start) AS ends, count(*) AS n
+            FROM (SELECT *, sum(n) OVER (PARTITION BY source, page, level, origin, run ORDER BY start)::BIGINT AS done FROM ({stay})) GROUP BY source, page, level, origin, run
+        ),
+        chunk AS (
+            SELECT *, 0::BIGINT AS head, greatest(1, len(list_filter(ends, lambda x: x <= {size})) - 1)::BIGINT AS tail FROM run
+            UNION ALL
+            SELECT source, page, opens, ends, n, next, greatest(next + 1, len(list_filter(ends, lambda x: x <= ends[next + 1] + {size})) - 1) FROM (
+                SELECT *, least(tail, len(list_filter(ends, lambda x: x < greatest(ends[tail + 1] - {overlap}, ends[tail + 2] - {size})))) AS next FROM chunk WHERE tail < n
+            )
+        ),
+        cut AS (SELECT c.source, c.page, opens + ends[head + 1] AS start, {_bare('substring(text, opens + ends[head + 1] + 1, ends[tail + 1] - ends[head + 1])')} AS text FROM chunk c JOIN item_0 USING (source, page)),
+        numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY page, start) - 1 AS INTEGER) AS chunk_index FROM cut WHERE text <> '')
+        SELECT substring(sha256(concat_ws('|', source, chunk_index, text)), 1, 16) AS chunk_id, source, CAST(page AS INTEGER) AS page, CAST(NULL AS VARCHAR) AS article, chunk_index, text FROM numbered"""
+
+
+PLAIN_PAGES = "SELECT source, doc_id AS page, text FROM documents"
+#: Conversations as Markdown: a heading and a rule for each turn.
+MARKDOWN_PAGES = "SELECT 'conversations' AS source, conv_id AS page, string_agg(chr(10) || '## ' || role || chr(10) || '---' || chr(10) || text || chr(10) || chr(10), '' ORDER BY turn, role, text) AS text FROM conversations GROUP BY conv_id"
+
 SECTIONS = [("a.pdf", 0, "preambolo", "Foreword"), ("a.pdf", 1, "1", "Art. 1 - Scope\nfirst body\ncontinued"), ("a.pdf", 2, "2 bis", "Articolo 2 bis Terms\nArt.19 Requests ........ 20\nbody of two"), ("a.pdf", 3, "allegato a", "ALLEGATO 'A'\nannex"), ("b.txt", 1, "5", "art. 5 opens\ntext"), ("b.txt", 2, "12ter", "Art.12ter x\nend"), ("c.txt", 0, "preambolo", "no heading here\nat all")]
 
 ORACLE_SQL = {
@@ -175,6 +216,10 @@ ORACLE_SQL = {
     "chunk_ids": """
         SELECT substring(sha256(concat_ws('|', source, i, text)), 1, 16) AS chunk_id, source, doc_id AS page, i AS chunk_index
         FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS i FROM documents)""",
+    "recursive_chunks": _chunked(PLAIN_PAGES, config.STRATEGIES["base"], splitters.PLAIN),
+    "overlap_chunks": _chunked(PLAIN_PAGES, config.STRATEGIES["overlap"], splitters.PLAIN),
+    "markdown_chunks": _chunked(MARKDOWN_PAGES, config.STRATEGIES["base"], splitters.MARKDOWN),
+    "mojibake_fix": "SELECT source, doc_id AS page, regexp_matches(text, '[^\\x00-\\x7F]') AS repaired, sha256(nfc_normalize(text)) AS sha FROM documents",
     "article_sections": f"SELECT source, CAST(section AS BIGINT) AS section, article, text FROM {_values(SECTIONS, 'source, section, article, text')}",
     "toc_filter": f"SELECT id, label, regexp_matches(line, {_text(t.CONTENTS_LINE)}) AS contents FROM {_values([(i, x, y) for i, (x, y) in enumerate(zip(fixtures.HEADINGS, fixtures.LABELS, strict=True))], 'id, line, label')}",
     "abbreviations": f"SELECT id, marked, replace(marked, '<DOT>', '.') AS restored FROM {_values(list(enumerate(fixtures.MARKED)), 'id, marked')}",

@@ -256,7 +256,10 @@ def overlap_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.split(s.pages(spark, sf_dir).withColumn("page", F.col("page").cast("int")), "base", ext="md")
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    said = F.array_join(F.transform(turns, lambda m: F.concat(F.lit("\n## "), m.role, F.lit("\n---\n"), m.text, F.lit("\n\n"))), "")
+    rows = s.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(said.alias("text"))
+    return chunking.split(rows.select(F.lit("conversations").alias("source"), F.col("conv_id").cast("int").alias("page"), "text"), "base", ext="md")
 
 
 @query

@@ -113,12 +113,24 @@ def test_markdown_prefers_headings():
 
 
 def test_fix_text(spark):
-    good = ["società di ingegneria", "perché l’uso — €", "plain", "日本"]
+    good = ["società di ingegneria", "perché l'uso — €", "plain", "日本"]
     for t in good:
         assert mojibake.fix_text(t) == t
         assert mojibake.fix_text(t.encode().decode("latin-1")) == t
     assert mojibake.fix_text("societÃ  di") == "società di"
     assert mojibake.fix_text("ﬁne") == "fine"
+    assert mojibake.fix_text("perché l’uso — €".encode().decode("cp1252")) == "perché l'uso — €"
+    known = {
+        "“a” ‘b’ „c‟": "\"a\" 'b' \"c\"",
+        "a\r\nb\rc\u2028d\u2029e\x85f": "a\nb\nc\nd\ne\nf",
+        "ＬＯＵＤ　ＮＯＩＳＥＳ": "LOUD NOISES",
+        "\x1b[36;44mcold\x1b[0m\ufeff\x00 \x07tab\t": "cold tab\t",
+        "a &amp; b &eacute; &#39;x&#39; &nosuch;": "a & b é 'x' &nosuch;",
+        "<b>a &amp; b</b>": "<b>a &amp; b</b>",
+        "e\u0301": "é",
+    }
+    assert {k: mojibake.fix_text(k) for k in known} == known
+    assert column(spark, list(known), mojibake.fixed) == list(known.values())
     assert column(spark, ["perchÃ©", "abc", None], mojibake.fixed) == ["perché", "abc", None]
 
 
