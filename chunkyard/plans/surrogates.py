@@ -9,10 +9,11 @@ from chunkyard import config
 from chunkyard.functions import text
 from chunkyard.operators import lexical, validation
 from chunkyard.scratch import written
+from chunkyard.sources.tables import read_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

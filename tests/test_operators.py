@@ -374,3 +374,17 @@ def test_stream_follows_pages(spark, tmp_path):
         spark.createDataFrame([("b", 0, "two")], schemas.PAGES).write.mode("append").parquet(inbox)
     ingest.follow(ingest.page_stream(spark, inbox), root, "c", str(tmp_path / "ck")).awaitTermination()
     assert {r["text"] for r in collections.read(spark, root, "c").collect()} == {"one", "two"}
+
+
+def test_small_single_files_are_dealt_to_all_cores(spark, tmp_path):
+    from chunkyard.sources import tables
+
+    rows = spark.range(1000).withColumn("other", F.col("id") * 2)
+    rows.coalesce(1).write.parquet(str(tmp_path / "folder"))
+    file = next((tmp_path / "folder").glob("*.parquet"))
+    whole, one = tables.read_table(spark, str(tmp_path / "folder")), tables.read_table(spark, str(file))
+    assert "Exchange" not in whole._jdf.queryExecution().toString()
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, whole.collect()))
+    dealt = one.select("id", F.spark_partition_id().alias("task")).where("id < 900")
+    assert dealt.select("task").distinct().count() == spark.sparkContext.defaultParallelism
+    assert "ReadSchema: struct<id:bigint>" in dealt._jdf.queryExecution().toString()
