@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
+from chunkyard.sources.tables import read_table
+
 #: Used for scratch tables where the session names no folder, as in tests.
 LOCAL_SCRATCH = "/tmp/checkpoints"
 
@@ -17,8 +19,8 @@ _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table; any path that Spark can read."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One input table; any path that Spark can read. The rows of a small single file are dealt to all cores."""
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def scratch_root(spark: SparkSession) -> str:
