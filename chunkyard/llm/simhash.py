@@ -25,6 +25,10 @@ DISTANCE = 3
 BLOCKS = 6
 #: Under one key, up to so many fingerprints are compared pair by pair; more are looked up by their neighbours.
 PAIRWISE = 2048
+#: Keys of more fingerprints than this are hot: their fingerprints are dealt on by blocks of the bits that the key leaves free.
+HOT_PRINTS = 1 << 17
+#: Hot keys are told by one fingerprint in so many. Links don't depend on it: either way every close pair meets.
+HOT_SAMPLE = 64
 
 
 #: Texts that share four fifths of their five-word shingles differ in 15 % of the bits of fingerprints of those shingles, too many
@@ -109,6 +113,15 @@ def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def finer_masks(mask: int, blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
+    """Masks that hold ``mask`` and every choice of blocks - distance blocks of the other bits, signed."""
+    free = [1 << i for i in range(64) if not mask >> i & 1]
+    edges = [len(free) * i // blocks for i in range(blocks + 1)]
+    parts = [sum(free[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    masks = [(mask & (1 << 64) - 1) + sum(c) for c in combinations(parts, blocks - distance)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
     """Of rows sorted by their first ``keys`` columns: arrays of whole groups, where groups of two or more rows start, and where they end."""
     parts: list[list[np.ndarray]] = []
@@ -145,22 +158,22 @@ def _least_linked(fps: np.ndarray, free: int, distance: int) -> np.ndarray:
     n = len(fps)
     if n > PAIRWISE and distance > DISTANCE:
         return _reached(fps[:, None], distance)
-    if n <= PAIRWISE:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= distance
-        a, b = np.nonzero(near)
-    else:  # look up every neighbour: linear in n, however many share the key
-        bits = [1 << i for i in range(64) if free >> i & 1]
-        found = []
-        for k in range(1, distance + 1):
-            for c in combinations(bits, k):
-                at = np.searchsorted(fps, other := fps ^ np.uint64(sum(c)))
-                hit = np.nonzero(fps[np.minimum(at, n - 1)] == other)[0]
-                found.append((hit, at[hit]))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     labels, before = np.arange(n), None
-    while before is None or (labels != before).any():
+    if n <= PAIRWISE:
+        a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= distance)
+        while before is None or (labels != before).any():
+            before = labels.copy()
+            np.minimum.at(labels, a, before[b])
+            labels = labels[labels]
+        return labels
+    bits = [1 << i for i in range(64) if free >> i & 1]
+    steps = [np.uint64(sum(c)) for k in range(1, distance + 1) for c in combinations(bits, k)]
+    while before is None or (labels != before).any():  # look up every neighbour: linear in n, in time and memory, however many share the key
         before = labels.copy()
-        np.minimum.at(labels, a, before[b])
+        for step in steps:
+            at = np.minimum(np.searchsorted(fps, fps ^ step), n - 1)
+            hit = np.nonzero(fps[at] == fps ^ step)[0]
+            labels[hit] = np.minimum(labels[hit], labels[at[hit]])
         labels = labels[labels]
     return labels
 
@@ -195,17 +208,28 @@ def close_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS)
     """(u, v) links that join exactly the distinct values of ``fp`` that chains of at most ``distance`` bits join.
 
     Under each key a fingerprint links to the smallest one that it reaches there, so links grow with fingerprints and
-    not with pairs.
+    not with pairs. Fingerprints of a hot key meet under the key and a choice of blocks of its free bits: at six blocks and three
+    bits no more than 2**18 distinct ones agree there, so a task's group is bounded whatever the fingerprints. ``fps`` is read twice.
     """
     masks = block_masks(blocks, distance)
-    spread = fps.select("fp", F.explode(F.array(*_keys(F.col("fp"), 0, masks))).alias("key")).select("key.t", "key.k", "fp")
+    finer = [finer_masks(m, blocks, distance) for m in masks]
+    n = len(masks)
+    spread = lambda rows: rows.select("fp", F.explode(F.array(*_keys(F.col("fp"), 0, masks))).alias("key")).select("key.t", "key.k", "fp")
+    some = fps.where(F.pmod(F.xxhash64("fp"), F.lit(HOT_SAMPLE)) == 0)
+    hot = spread(some).groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT_SAMPLE > HOT_PRINTS)
+    hot = written(hot.select("t", "k", F.lit(True).alias("hot")), "hot")  # at most n * fingerprints / HOT_PRINTS rows
+    choices = F.element_at(F.array(*[F.array(*map(F.lit, f)) for f in finer]), F.col("t") + 1)
+    dealt_on = F.transform(choices, lambda m, i: F.struct((n + F.col("t") * n + i).alias("t"), F.col("fp").bitwiseAND(m).alias("k")))
+    keys = F.when(F.col("hot"), dealt_on).otherwise(F.array(F.struct("t", "k")))
+    spread = spread(fps).join(hot, ["t", "k"], "left").select("fp", F.explode(keys).alias("key")).select("key.t", "key.k", "fp")
+    every = [*masks, *(m for f in finer for m in f)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (t, _, fp), starts, ends in _whole_groups(batches, 2):
             us, vs = [], []
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 group = np.sort(fp[a:b].view(np.uint64))
-                least = _least_linked(group, ~masks[t[a]] & (1 << 64) - 1, distance)
+                least = _least_linked(group, ~every[t[a]] & (1 << 64) - 1, distance)
                 moved = np.nonzero(least != np.arange(len(group)))[0]
                 us.append(group[moved])
                 vs.append(group[least[moved]])
@@ -249,7 +273,7 @@ def near_groups(
     rows out. Other columns are not read.
     """
     rows = written(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("id").alias("first"))
+    classes = written(rows.groupBy("fp").agg(F.min("id").alias("first")), "prints")
     nodes = components(close_links(classes.select("fp"), distance, blocks))
     rooted = classes.join(nodes, classes.fp == nodes.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "classes")
