@@ -26,7 +26,7 @@ BLOCKS = 6
 #: Under one key, up to so many fingerprints are compared pair by pair; more are looked up by their neighbours.
 PAIRWISE = 2048
 #: Keys of more fingerprints than this are hot: their fingerprints are dealt on by blocks of the bits that the key leaves free.
-HOT_PRINTS = 1 << 17
+HOT_PRINTS = 1 << 13
 #: Hot keys are told by one fingerprint in so many. Links don't depend on it: either way every close pair meets.
 HOT_SAMPLE = 64
 
