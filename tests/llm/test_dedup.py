@@ -159,36 +159,6 @@ def test_close_links_find_every_close_pair(spark, monkeypatch, pairwise):
     assert len({next(iter(v)) for v in same.values()}) == len(same)
 
 
-def test_hot_keys_are_dealt_on_without_losing_links(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "HOT_PRINTS", 256)
-    draw = np.random.default_rng(3)
-    low = draw.integers(0, 1 << 20, 3000).astype(np.uint64)  # a third of the keys or more hold all of these
-    prints = np.unique(np.concatenate((low, low[:500] ^ np.uint64(1 << 40), draw.integers(0, 1 << 63, 500).astype(np.uint64))))
-    fps = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
-    links = simhash.close_links(fps).collect()
-    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= simhash.DISTANCE
-    labels = np.arange(len(prints))
-    at = {int(x): i for i, x in enumerate(prints.view(np.int64))}
-    before = None
-    while before is None or (labels != before).any():
-        before = labels.copy()
-        for r in links:
-            labels[at[r["u"]]] = labels[at[r["v"]]] = min(labels[at[r["u"]]], labels[at[r["v"]]])
-    want, before = np.arange(len(prints)), None
-    a, b = np.nonzero(near)
-    while before is None or (want != before).any():
-        before = want.copy()
-        np.minimum.at(want, a, before[b])
-    assert (labels == want).all()
-
-
-def test_finer_masks_bound_a_group():
-    for mask in simhash.block_masks():
-        for finer in simhash.finer_masks(mask):
-            assert finer & mask == mask
-            assert 64 - bin(finer & (1 << 64) - 1).count("1") <= 18
-
-
 def test_components_of_a_long_chain_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
