@@ -196,6 +196,21 @@ def test_dense(spark, monkeypatch):
     assert dense.top_k(df, df.limit(0).withColumnRenamed("chunk_id", "query_id"), 4).count() == 0
 
 
+def test_dense_passes_on_the_best_of_each_task_alone(spark, monkeypatch):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)], "chunk_id long, vector array<float>").coalesce(1)
+    seen = []
+    monkeypatch.setattr(dense, "BLOCK", 4)
+    monkeypatch.setattr(dense, "written", lambda d, name: seen.append((name, kept := written(d, name))) or kept)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        got = dense.top_k(df, df.where("chunk_id < 6").withColumnRenamed("chunk_id", "query_id"), 3).count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held = [d for name, d in seen if name == "nearest"]
+    assert got == 18 and len(held) == 2 and sum(d.count() for d in held) == 18
+
+
 def test_modes_and_threshold(spark):
     words = ["roof height limits", "parking spaces", "roof materials", "noise limits at night"]
     embed = models.hashed_embedder(32)
