@@ -63,14 +63,15 @@ def holding(pages: DataFrame, quotes: DataFrame, same_source: bool | None) -> Da
     anchor = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     asked = quotes.select("id", "position", "quote", "needle", F.col("source").alias("gold_source"), F.col("page").alias("gold_page")).withColumn("anchor", anchor)
     asked = written(asked, "quotes")
-    folded = pages.select("source", "page", text.normalize(F.col("text")).alias("folded"))
+    # never null, or the plan would fold every text a second time to see whether it is
+    folded = pages.where("text IS NOT NULL").select("source", "page", F.coalesce(text.normalize(F.col("text")), F.lit("")).alias("folded"))
     sources = F.lit(True) if same_source is None else F.col("source") == F.col("gold_source") if same_source else F.col("source") != F.col("gold_source")
     anchors = [r[0] for r in asked.where("anchor IS NOT NULL").select("anchor").distinct().limit(INLINE_ANCHORS + 1).collect()]
-    held = F.array_distinct(F.split("folded", " "))
-    if len(anchors) <= INLINE_ANCHORS:
-        spread = folded.withColumn("word", F.explode(F.array_intersect(held, F.array(*map(F.lit, anchors)).cast("array<string>"))))
+    every = F.split("folded", " ")
+    if len(anchors) <= INLINE_ANCHORS:  # few words pass, and those alone are made distinct
+        spread = folded.withColumn("word", F.explode(F.array_distinct(F.filter(every, lambda w: w.isin(anchors)))))
     else:  # light rows find the pages of each anchor, then those pages' texts
-        light = written(folded.select("source", "page", F.explode(held).alias("word")).join(asked.select(F.col("anchor").alias("word")).distinct(), "word", "left_semi"), "anchors")
+        light = written(folded.select("source", "page", F.explode(F.array_distinct(every)).alias("word")).join(asked.select(F.col("anchor").alias("word")).distinct(), "word", "left_semi"), "anchors")
         spread = folded.join(light.distinct(), ["source", "page"])
     long = spread.join(asked.where("anchor IS NOT NULL"), (F.col("word") == F.col("anchor")) & sources & F.contains("folded", F.col("needle")))
     columns = ["id", "position", "quote", "needle", "gold_source", "gold_page", "source", "page"]

@@ -229,6 +229,18 @@ def test_modes_and_threshold(spark):
         retrieval.retrieve(chunks, queries, mode="guess")
 
 
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_folded_once(spark):
+    pages = written(spark.createDataFrame([("a", 1, "one two three"), ("b", 2, None), ("c", None, "ONE\ntwo  three four")], "source string, page int, text string"), "pages")
+    quotes = spark.createDataFrame([("q", 0, "one two three", "a", None, "one two three")], "id string, position int, quote string, source string, page int, needle string")
+    found = validation.holding(pages, quotes, None)
+    assert planned(found).count("regexp_replace") == 1
+    assert {(r["source"], r["page"]) for r in found.collect()} == {("a", 1), ("c", None)}
+
+
 def test_rerank_of_nothing(spark):
     none = spark.createDataFrame([], "query_id string, rank int, chunk_id long, score double")
     texts = spark.createDataFrame([(1, "x")], "chunk_id long, text string")
