@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkyard import config
+from chunkyard.scratch import written
 
 
 def rrf(rankings: Sequence[DataFrame], weights: Sequence[float] | None = None, rrf_k: int = config.RRF_K, k: int | None = None) -> DataFrame:
@@ -27,7 +28,8 @@ def rrf(rankings: Sequence[DataFrame], weights: Sequence[float] | None = None, r
 
 def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, scorer: Callable[[Column, Column], Column], top_n: int) -> DataFrame:
     """``candidates`` ordered by ``scorer(query text, chunk text)`` instead of their scores; ties keep their order."""
-    pairs = candidates.join(queries.select("query_id", F.col("text").alias("__q")), "query_id").join(chunks.select("chunk_id", F.col("text").alias("__c")), "chunk_id")
+    candidates = written(candidates, "candidates")  # its size is known then: texts don't shuffle to meet a few rows
+    pairs = candidates.join(chunks.select("chunk_id", F.col("text").alias("__c")), "chunk_id").join(queries.select("query_id", F.col("text").alias("__q")), "query_id")
     scored = pairs.select("query_id", "chunk_id", F.col("rank").alias("before"), F.round(scorer(F.col("__q"), F.col("__c")), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "before"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top_n).select("query_id", "rank", "chunk_id", "score")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chunkyard import config
 from chunkyard.operators import dense, fusion, lexical, models
+from chunkyard.scratch import written
 
 
 def retrieve(
@@ -44,6 +45,7 @@ def retrieve(
     threshold = config.THRESHOLDS[mode]
     if apply_threshold and threshold is not None:
         ranked = ranked.where(F.col("score") >= threshold)
+    ranked = written(ranked, "best")  # its size is known then: texts don't shuffle to meet a few rows
     return ranked.join(chunks.select("chunk_id", "source", "text"), "chunk_id").select("query_id", "rank", "chunk_id", "source", "text", "score")
 
 

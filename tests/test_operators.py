@@ -233,6 +233,19 @@ def planned(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_texts_do_not_shuffle_to_meet_few_rows(spark, tmp_path):
+    spark.range(50).select(F.col("id").alias("chunk_id"), F.lit("s").alias("source"), F.lit("x y").alias("text")).write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    few = spark.range(5_000_000).where("id % 2500000 = 7").select(F.lit("q").alias("query_id"), F.col("id").cast("int").alias("rank"), F.col("id").alias("chunk_id"), F.lit(1.0).alias("score"))
+    asked = spark.range(5_000_000).where("id = 7").select(F.lit("q").alias("query_id"), F.lit("x").alias("text"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2000")  # less than 5,000,000 rows are taken to be, more than what is left of them
+    try:
+        plan = planned(fusion.rerank(few, asked, texts, models.shared_words_scorer, 3))
+        assert re.search(r"BroadcastHashJoin \[chunk_id", plan) and not re.search(r"SortMergeJoin \[chunk_id", plan)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_texts_are_folded_once(spark):
     pages = written(spark.createDataFrame([("a", 1, "one two three"), ("b", 2, None), ("c", None, "ONE\ntwo  three four")], "source string, page int, text string"), "pages")
     quotes = spark.createDataFrame([("q", 0, "one two three", "a", None, "one two three")], "id string, position int, quote string, source string, page int, needle string")
