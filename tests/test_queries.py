@@ -59,3 +59,14 @@ def test_entry_without_the_llm_subpackage(monkeypatch):
 
     assert set(entry.queries()) == set(queries.QUERIES)
     assert set(entry.oracle_sql()) == set(queries.QUERIES)
+
+
+def test_lines_are_searched_on_pages_that_hold_a_quote_alone(spark, monkeypatch):
+    from chunkyard.operators import cleaning, validation
+    from chunkyard.plans import queries, surrogates
+
+    seen = []
+    straddling = validation.straddling
+    monkeypatch.setattr(validation, "straddling", lambda pages, lines, quotes: seen.append(lines) or straddling(pages, lines, quotes))
+    queries.QUERIES["quote_straddles"](spark, DATA)
+    assert 0 < seen[0].count() < cleaning.page_lines(surrogates.pages(spark, DATA)).count()
