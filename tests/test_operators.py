@@ -256,6 +256,19 @@ def test_texts_do_not_shuffle_to_meet_few_rows(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_texts_of_one_file_are_not_dealt_out_to_meet_few_rows(spark, monkeypatch):
+    from chunkyard.plans import surrogates
+
+    folder, seen = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(surrogates, "written", lambda d, name: seen.append((name, planned(d))) or written(d, name))
+    assert "RoundRobinPartitioning" in planned(surrogates.chunks(spark, folder))  # one small file
+    rows = surrogates.ranked(spark, folder, 3).collect()
+    plan = dict(seen)["ranked"]
+    assert "BroadcastHashJoin" in plan and "Exchange RoundRobinPartitioning" not in plan and "Exchange hashpartitioning" not in plan
+    texts = {r["chunk_id"]: (r["source"], r["text"]) for r in surrogates.chunks(spark, folder).collect()}
+    assert rows and all((r["source"], r["text"]) == texts[r["chunk_id"]] for r in rows)
+
+
 def test_texts_are_folded_once(spark):
     pages = written(spark.createDataFrame([("a", 1, "one two three"), ("b", 2, None), ("c", None, "ONE\ntwo  three four")], "source string, page int, text string"), "pages")
     quotes = spark.createDataFrame([("q", 0, "one two three", "a", None, "one two three")], "id string, position int, quote string, source string, page int, needle string")
